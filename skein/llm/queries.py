@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .anchors import difference_cover_dedup
+from .ctw import ctw_score
+from .langid import identify
 from .lpf import suffix_array_dedup
 
 
@@ -18,12 +20,22 @@ def op4_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return difference_cover_dedup(_documents(spark, sf_dir), width=35).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op1_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw_score(_documents(spark, sf_dir), held_out=(7, 2))
+
+
+def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_documents(spark, sf_dir), held_out=(4, 2)).select("doc_id", "held_out", "lang_pred", "score", "bits_per_char", "rejected")
+
+
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array_dedup(_documents(spark, sf_dir), width=400, keep="none").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_context_tree": op1_context_tree,
     "op4_difference_cover": op4_difference_cover,
+    "op5_kneser_ney": op5_kneser_ney,
     "op7_suffix_array": op7_suffix_array,
 }
 
