@@ -10,6 +10,7 @@ from .anchors import difference_cover_dedup
 from .ctw import ctw_score
 from .langid import identify
 from .lpf import suffix_array_dedup
+from .toxicity import toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,11 +33,16 @@ def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array_dedup(_documents(spark, sf_dir), width=400, keep="none").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op10_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), held_out=(5, 0))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_context_tree": op1_context_tree,
     "op4_difference_cover": op4_difference_cover,
     "op5_kneser_ney": op5_kneser_ney,
     "op7_suffix_array": op7_suffix_array,
+    "op10_noisy_channel": op10_noisy_channel,
 }
 
 ORACLE: dict[str, str] = {
