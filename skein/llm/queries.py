@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .anchors import difference_cover_dedup
 from .ctw import ctw_score
 from .langid import identify
 from .lpf import suffix_array_dedup
+from .quality import cascade
+from .sharding import balanced_label_propagation
 from .toxicity import toxicity
 
 
@@ -25,6 +28,18 @@ def op1_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw_score(_documents(spark, sf_dir), held_out=(7, 2))
 
 
+def op2_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    failed = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
+    return cascade(_documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (F.col("kept") & ~failed).alias("kept")
+    )
+
+
+def op3_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = balanced_label_propagation(_documents(spark, sf_dir), shards=8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_documents(spark, sf_dir), held_out=(4, 2)).select("doc_id", "held_out", "lang_pred", "score", "bits_per_char", "rejected")
 
@@ -39,6 +54,8 @@ def op10_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_context_tree": op1_context_tree,
+    "op2_rule_cascade": op2_rule_cascade,
+    "op3_label_propagation": op3_label_propagation,
     "op4_difference_cover": op4_difference_cover,
     "op5_kneser_ney": op5_kneser_ney,
     "op7_suffix_array": op7_suffix_array,
@@ -46,6 +63,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_rule_cascade": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), tri AS (
+  SELECT doc_id, i, w[i:i + 2] AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)
+), rep AS (
+  SELECT doc_id, i FROM tri QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1
+), cov AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM rep) GROUP BY doc_id
+), m AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words,
+    length(t) - length(replace(t, '!', '')) AS n_shouts
+  FROM (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d) AS d
+  LEFT JOIN cov USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 20 * n_symbols > n_words OR 4 * n_shouts > n_words
+    OR word_chars < 2 * n_words OR word_chars > 16 * n_words OR (n_dup_lines >= 3 AND 20 * n_dup_lines > n_words)) AS kept
+FROM m
+""",
     "op4_difference_cover": r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
