@@ -1,17 +1,59 @@
-"""Corpus preparation: stages over ``documents``, each from and to Parquet."""
+"""Corpus preparation: stages over ``documents``, each from and to Parquet.
+
+Language ID drops texts without a letter or implausible in every language; near-duplicate classes
+keep one document; repeated 400-byte strings keep their first copy; documents with a benchmark
+item go; what is left is packed. All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skein.llm.bagminhash import deduplicate
+from skein.llm.decontam import without_contamination
+from skein.llm.langid import identify
+from skein.llm.lpf import suffix_array_dedup
+from skein.llm.packing import pack_related
+from skein.llm.storage import materialize
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that language identification does not reject."""
+    rest = tuple(c for c in docs.columns if c != "doc_id")
+    return identify(docs, columns=rest).where(~F.col("rejected")).select(*docs.columns)
+
+
+def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return deduplicate(docs)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without later copies of 400-byte strings; characters that a cut breaks go, n_chars follows."""
+    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    cut = suffix_array_dedup(docs, width=400, keep="first", columns=rest).withColumn("text", F.col("kept_text"))
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
-STAGES: list = []
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window like a benchmark item."""
+    return without_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the packed sequences."""
+    return pack_related(docs, length=2048)
+
+
+STAGES = [("language", language), ("near_duplicate", near_duplicate), ("substrings", substrings), ("decontaminate", decontaminate), ("packing", packing)]
+
+#: Language models, signatures and a tokenizer are beyond SQL; tests compare each stage to a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
-    from skein.llm.storage import materialize
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .storage import materialize
 from .text import U64, mix64, window_hashes, word_hashes, word_spans
@@ -169,7 +170,7 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, rounds: int = 4) -> DataFrame:
     """Class of every row: rows are linked if their five-word shingle multisets overlap by ``threshold``.
 
-    docs: doc_id, text; other columns are ignored. One row per input row: doc_id, class_id (the least
+    docs: doc_id, text; other columns are ignored. One row per input row: doc_id, key (md5 of the text), class_id (the least
     doc_id of the class), class_size (rows), text_copies (rows with this very text), kept (one row of
     each class: the least doc_id, of equal ids an arbitrary one). Null and empty texts are one
     text, like only each other. A text of 1 to 4 words has one shingle. A null id comes last
@@ -212,4 +213,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     told = copies.join(key_class, "key")
     classes = told.groupBy("class").agg(F.min("least").alias("first"), F.sum("text_copies").alias("class_size"))
     by_key = told.select("key", "class", "text_copies").join(classes, "class").select("key", "text_copies", "class_size", F.col("first.doc_id").alias("class_id"), F.col("first.uid").alias("first_uid"))
-    return rowed.join(by_key, "key").select("doc_id", "class_id", "class_size", "text_copies", (F.col("uid") == F.col("first_uid")).alias("kept"))
+    return rowed.join(by_key, "key").select("doc_id", "key", "class_id", "class_size", "text_copies", (F.col("uid") == F.col("first_uid")).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row of each class of near_duplicates(), the least doc_id's, with all its columns. Rows are told apart by
+    id and text; of rows equal in both one stays."""
+    kept = near_duplicates(docs, threshold).where("kept").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"))
+    key = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+    rows = docs.withColumn("__key", key).withColumn("__id", F.col("doc_id").cast("long"))
+    on = rows["__id"].eqNullSafe(kept["__id"]) & (rows["__key"] == kept["__key"])
+    found = rows.join(kept, on, "left_semi")
+    first = F.row_number().over(Window.partitionBy("__id", "__key").orderBy(F.lit(0)))
+    return found.withColumn("__n", first).where("__n = 1").select(*docs.columns)

@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 
 from .storage import materialize
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 BUCKET_BYTES = 16 << 20
 MOST_BUCKETS = 1 << 16
 BATCH_BYTES = 1 << 20
-SCHEMA = "block long, ids binary, known binary, lens binary, text binary, raw long"
+SCHEMA = "block long, ids binary, known binary, lens binary, text binary, raw long, extra binary"
 
 
 class Block:
@@ -37,6 +37,7 @@ class Block:
         self.ids = np.frombuffer(row.ids, np.int64)
         self.known = np.frombuffer(row.known, np.bool_)
         self.lens = np.frombuffer(row.lens, np.int64)
+        self.extra = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(row.extra)).read_all() if row.extra else None
         self.raw = zstandard.ZstdDecompressor().decompress(row.text, max_output_size=max(1, int(row.raw)))
 
     def batches(self, size: int = BATCH_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -53,11 +54,12 @@ class Block:
         return [int(i) if k else None for i, k in zip(self.ids, self.known, strict=True)]
 
 
-def pack(docs: DataFrame) -> DataFrame:
-    """The block table of ``docs`` (doc_id, text; null text is empty); read, packed and written once."""
+def pack(docs: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
+    """The block table of ``docs`` (doc_id, text; null text is empty); read, packed and written once.
+    ``columns`` travel along as they are."""
     block_bytes = BLOCK_BYTES
 
-    def flush(part: int, k: int, ids: list, texts: list) -> pa.RecordBatch:
+    def flush(part: int, k: int, ids: list, texts: list, more: list) -> pa.RecordBatch:
         raw = b"".join(t + b"\n" for t in texts)
         cols = [
             np.array([i or 0 for i in ids], np.int64).tobytes(),
@@ -65,27 +67,40 @@ def pack(docs: DataFrame) -> DataFrame:
             np.array([len(t) for t in texts], np.int64).tobytes(),
             zstandard.ZstdCompressor(level=3).compress(raw),
         ]
+        extra = None
+        if columns:
+            table = pa.Table.from_batches(more)
+            with pa.BufferOutputStream() as sink:
+                with pa.ipc.new_stream(sink, table.schema) as w:
+                    w.write_table(table)
+                extra = zstandard.ZstdCompressor(level=3).compress(sink.getvalue().to_pybytes())
         return pa.RecordBatch.from_arrays(
-            [pa.array([(part << 32) + k], pa.int64()), *(pa.array([c], pa.binary()) for c in cols), pa.array([len(raw)], pa.int64())],
-            names=["block", "ids", "known", "lens", "text", "raw"],
+            [pa.array([(part << 32) + k], pa.int64()), *(pa.array([c], pa.binary()) for c in cols), pa.array([len(raw)], pa.int64()), pa.array([extra], pa.binary())],
+            names=["block", "ids", "known", "lens", "text", "raw", "extra"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, k, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
+        part, k, ids, texts, more, size = TaskContext.get().partitionId(), 0, [], [], [], 0
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            rest, begun = b.select(list(columns)) if columns else None, 0
+            for at, (i, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1), strict=True), 1):
                 t = t.as_py() or b""
                 ids.append(i)
                 texts.append(t)
                 size += len(t) + 1
                 if size >= block_bytes:
-                    yield flush(part, k, ids, texts)
-                    k, ids, texts, size = k + 1, [], [], 0
+                    if columns:
+                        more.append(rest.slice(begun, at - begun))
+                    yield flush(part, k, ids, texts, more)
+                    k, ids, texts, more, size, begun = k + 1, [], [], [], 0, at
+            if columns and begun < b.num_rows:
+                more.append(rest.slice(begun))
         if ids:
-            yield flush(part, k, ids, texts)
+            yield flush(part, k, ids, texts, more)
 
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    return materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(run, SCHEMA), "blocks")
+    src = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").cast("binary").alias("__text"), *columns)
+    return materialize(src.mapInArrow(run, SCHEMA), "blocks")
 
 
 def bucket_count(blocks: DataFrame, least: int = 12) -> int:

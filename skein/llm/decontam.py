@@ -173,6 +173,28 @@ class Index:
         return [(d, i, *v) for (d, i), v in sorted(best.items())]
 
 
+def _indexes(benchmark: DataFrame, threshold: float) -> Iterator[Index]:
+    """Indexes of about ITEMS_AT_ONCE items each; their number is counted first."""
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
+    groups = -(-items.count() // ITEMS_AT_ONCE) or 1
+    for g in range(groups):
+        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(groups)) == g).collect()
+        yield Index(sorted((r["item_id"], bytes(r["text"])) for r in part), threshold)
+
+
+def _matches(index: Index, texts: list) -> list[tuple]:
+    """Index.matches in batches of about a megabyte."""
+    texts, rows, a = [t or b"" for t in texts], [], 0
+    while a < len(texts):
+        size, z = 0, a
+        while z < len(texts) and (z == a or size + len(texts[z]) <= 1 << 20):
+            size += len(texts[z])
+            z += 1
+        rows += [(a + m[0], *m[1:]) for m in index.matches(texts[a:z])]
+        a = z
+    return rows
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Where a text holds a window that is like a benchmark item.
 
@@ -184,25 +206,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     """
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
-    groups = -(-items.count() // ITEMS_AT_ONCE) or 1
     out = None
-    for g in range(groups):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(groups)) == g).collect()  # about ITEMS_AT_ONCE
-        sent = spark.sparkContext.broadcast(Index(sorted((r["item_id"], bytes(r["text"])) for r in part), threshold))
+    for index in _indexes(benchmark, threshold):
+        sent = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = sent.value
             for b in batches:
-                texts = [t or b"" for t in b.column(1).to_pylist()]
-                rows, a = [], 0
-                while a < len(texts):
-                    size, z = 0, a
-                    while z < len(texts) and (z == a or size + len(texts[z]) <= 1 << 20):
-                        size += len(texts[z])
-                        z += 1
-                    rows += [(a + m[0], *m[1:]) for m in index.matches(texts[a:z])]
-                    a = z
+                rows = _matches(sent.value, b.column(1).to_pylist())
                 at = pa.array([r[0] for r in rows], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(at), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.float64())],
@@ -215,7 +225,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 
 def without_contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose id has no match, with all their columns. Rows with a null id are kept only if
-    no row with a null id matches; repeated ids share one fate."""
-    bad = contaminated(docs, benchmark, threshold).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("__bad")), "left_anti")
+    """The rows of ``docs`` that match no item, with all their columns; one pass over the texts a group of items."""
+    spark = docs.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    for index in _indexes(benchmark, threshold):
+        sent = spark.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                bad = {m[0] for m in _matches(sent.value, [None if t is None else t.encode("utf-8", "replace") for t in b.column("text").to_pylist()])}
+                yield b.take(pa.array([k for k in range(b.num_rows) if k not in bad], pa.int64()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

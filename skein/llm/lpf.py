@@ -252,19 +252,20 @@ def _ranks(s: _Cells) -> np.ndarray:
     return suffix_ranks(np.concatenate(texts), s.width)[np.concatenate(pos)]
 
 
-def suffix_array_dedup(docs: DataFrame, width: int = 400, keep: str = "first") -> DataFrame:
+def suffix_array_dedup(docs: DataFrame, width: int = 400, keep: str = "first", columns: tuple[str, ...] = ()) -> DataFrame:
     """Remove the bytes that a repeated ``width``-byte string covers.
 
-    docs: doc_id, text; other columns are ignored. keep "first": a string's first copy, by doc_id
+    docs: doc_id, text; ``columns`` are passed through, others ignored. keep "first": a string's first copy, by doc_id
     and position, stays; "none": every copy goes. One row per input row: doc_id, n_bytes,
-    n_removed, n_spans (maximal removed runs), kept (the other bytes), kept_sha256.
+    n_removed, n_spans (maximal removed runs), kept (the other bytes), kept_text (the
+    same without broken characters), kept_sha256.
     Null and empty texts have no bytes; repeated rows are copies; an empty table gives no row; a
     null id stays null and counts as 0 in the order; of equal ids the lower block comes first.
     Lengths are of UTF-8, and a cut may fall inside a character.
     """
     if width < 16 or keep not in ("first", "none"):
         raise ValueError("width is 16 at least; keep is 'first' or 'none'")
-    bl = B.pack(docs)
+    bl = B.pack(docs, columns)
     buckets = B.bucket_count(bl)
 
     def first(block: B.Block) -> pd.DataFrame:
@@ -290,13 +291,16 @@ def suffix_array_dedup(docs: DataFrame, width: int = 400, keep: str = "first") -
             for x, y in zip(b.offs[:-1], b.offs[1:] - 1, strict=True):
                 g = gone[x:y]
                 out.append((int(y - x), int(g.sum()), len(runs(g)[0]), b.buf[x:y][~g].tobytes()))
+        also = {c: pd.Series(block.extra.column(c).to_pandas(types_mapper=pd.ArrowDtype).array) for c in columns} if columns else {}
         return pd.DataFrame(
             {
+                **also,
                 "doc_id": pd.array(block.id_list(), dtype="Int64"),
                 "n_bytes": np.array([r[0] for r in out], np.int64),
                 "n_removed": np.array([r[1] for r in out], np.int64),
                 "n_spans": np.array([r[2] for r in out], np.int64),
                 "kept": [r[3] for r in out],
+                "kept_text": [r[3].decode("utf-8", "ignore") for r in out],
                 "kept_sha256": [hashlib.sha256(r[3]).hexdigest() for r in out],
             }
         )
@@ -304,4 +308,5 @@ def suffix_array_dedup(docs: DataFrame, width: int = 400, keep: str = "first") -
     seen = B.repeated(B.ask(bl, first), np.uint32).selectExpr("block", "bucket", "found", "CAST(NULL AS binary) AS before")
     sent = B.again(bl, seen, second, "bucket int, block long, core binary, ctx binary, doc binary")
     told = sent.groupBy("bucket").applyInPandas(_answer, "block long, bucket int, found binary, before binary")
-    return B.again(bl, seen.unionByName(told), last, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    passed = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*columns).schema.fields) if columns else ""
+    return B.again(bl, seen.unionByName(told), last, passed + "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string, kept_sha256 string")

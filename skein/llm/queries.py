@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import difference_cover_dedup
+from .bagminhash import near_duplicates
 from .ctw import ctw_score
+from .decontam import contaminated
 from .langid import identify
 from .lpf import suffix_array_dedup
+from .packing import pack_related
 from .quality import cascade
 from .sharding import balanced_label_propagation
 from .toxicity import toxicity
@@ -44,6 +47,18 @@ def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_documents(spark, sf_dir), held_out=(4, 2)).select("doc_id", "held_out", "lang_pred", "score", "bits_per_char", "rejected")
 
 
+def op6_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_documents(spark, sf_dir)).select("doc_id", "class_id", "class_size", "text_copies", "kept")
+
+
+def op8_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op9_related_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_related(_documents(spark, sf_dir), length=2048)
+
+
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array_dedup(_documents(spark, sf_dir), width=400, keep="none").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
@@ -58,7 +73,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_label_propagation": op3_label_propagation,
     "op4_difference_cover": op4_difference_cover,
     "op5_kneser_ney": op5_kneser_ney,
+    "op6_bagminhash": op6_bagminhash,
     "op7_suffix_array": op7_suffix_array,
+    "op8_simhash_windows": op8_simhash_windows,
+    "op9_related_packing": op9_related_packing,
     "op10_noisy_channel": op10_noisy_channel,
 }
 
