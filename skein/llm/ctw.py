@@ -196,13 +196,33 @@ def _held(block: B.Block, held_out: tuple[int, int] | None) -> np.ndarray:
     return np.array([zlib.crc32(b"" if i is None else str(i).encode()) % held_out[0] == held_out[1] for i in ids], dtype=bool)
 
 
-def _parts(block: B.Block, depth: int) -> Iterator[tuple]:
-    """Batches: documents, keys, their offsets, word hashes (END: 0), their offsets."""
-    for a, b, buf, offs in block.batches():
+def _keys(block: B.Block, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a block and where each document's begin."""
+    keys, at = [np.zeros(0, U64)], [np.zeros(1, np.int64)]
+    for _, _, buf, offs in block.batches():
+        k, o = grams(*stream(buf, offs, *word_spans(buf), depth), depth)
+        keys.append(k)
+        at.append(o[1:] + at[-1][-1])
+    return np.concatenate(keys), np.concatenate(at)
+
+
+def _words(block: B.Block) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-case words of a block and where each document's begin."""
+    words, at = [np.zeros(0, U64)], [np.zeros(1, np.int64)]
+    for _, _, buf, offs in block.batches():
         s, e = word_spans(buf)
-        text, base = stream(buf, offs, s, e, depth)
-        key, at = grams(text, base, depth)
-        yield a, b, key, at, word_hashes(LOWER[buf], s, e), np.searchsorted(s, offs)
+        words.append(word_hashes(LOWER[buf], s, e))
+        at.append(np.searchsorted(s, offs)[1:] + at[-1][-1])
+    return np.concatenate(words), np.concatenate(at)
+
+
+def _coded(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the sorted distinct values, those), by hashing; only the distinct values are sorted."""
+    code, u = pd.factorize(values)
+    order = np.argsort(u)
+    place = np.empty(len(u), np.int32)
+    place[order] = np.arange(len(u), dtype=np.int32)
+    return place[code], u[order]
 
 
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -212,15 +232,10 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return u, np.bincount(inv, weights=np.concatenate([p[1] for p in parts]), minlength=len(u)).astype(np.int64)
 
 
-def _counted(values: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    u, inv = np.unique(values, return_inverse=True)
-    return u, np.bincount(inv, weights=train, minlength=len(u)).astype(np.int64)
-
-
 def _pack(a: np.ndarray, z: zstandard.ZstdCompressor) -> bytes:
     if a.dtype == U64:
         a = np.diff(a, prepend=U64(0))
-    return z.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes())
+    return z.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T).tobytes())
 
 
 def _unpack(x: bytes, dtype) -> np.ndarray:
@@ -243,24 +258,21 @@ def ctw_score(docs: DataFrame, depth: int = 6, held_out: tuple[int, int] | None
     buckets = B.bucket_count(bl)
 
     def send(block: B.Block) -> pd.DataFrame:
-        train = ~_held(block, held_out)
-        g = []
-        for a, b, key, at, _, _ in _parts(block, depth):
-            g.append(_counted(key, np.repeat(train[a:b], np.diff(at))))
+        keys, at = _keys(block, depth)
+        train = np.repeat(~_held(block, held_out), np.diff(at))
+        code, key = _coded(keys)
+        n = np.bincount(code, weights=train, minlength=len(key)).astype(np.int64)
         z = zstandard.ZstdCompressor(level=3)
-        key, n = _merge(g)
         to = bucket_of(key, depth, buckets)
         rows = [(k, block.block, _pack(key[x], z), _pack(n[x], z)) for k in range(buckets) if (x := to == k).any()]
         return pd.DataFrame(rows, columns=["bucket", "block", "key", "n"]).astype({"bucket": "int32", "block": "int64"})
 
     def send_words(block: B.Block) -> pd.DataFrame:
+        words, at = _words(block)
         train = ~_held(block, held_out)
-        w = []
-        for a, b, buf, offs in block.batches():
-            s, e = word_spans(buf)
-            w.append(_counted(word_hashes(LOWER[buf], s, e), np.repeat(train[a:b], np.diff(np.searchsorted(s, offs)))))
+        code, word = _coded(words)
+        m = np.bincount(code, weights=np.repeat(train, np.diff(at)), minlength=len(word)).astype(np.int64)
         z = zstandard.ZstdCompressor(level=3)
-        word, m = _merge(w)
         to = word % U64(buckets)
         rows = [(k, block.block, _pack(word[x := to == k], z), _pack(m[x], z), int(m[x].sum()), int(train.sum()) * (k == 0)) for k in range(buckets)]
         return pd.DataFrame(rows, columns=["bucket", "block", "word", "m", "words", "ends"]).astype({"bucket": "int32", "block": "int64", "words": "int64", "ends": "int64"})
@@ -305,9 +317,11 @@ def ctw_score(docs: DataFrame, depth: int = 6, held_out: tuple[int, int] | None
 
     def last(block: B.Block, pdf: pd.DataFrame) -> pd.DataFrame:
         held = _held(block, held_out)
-        parts = list(_parts(block, depth))
-        key = np.unique(np.concatenate([np.unique(p[2]) for p in parts]))
-        word = np.unique(np.concatenate([np.unique(p[4]) for p in parts]))
+        keys, at = _keys(block, depth)
+        code, key = _coded(keys)
+        del keys
+        words, woffs = _words(block)
+        words_code, word = _coded(words)
         to, deal = bucket_of(key, depth, buckets), word % U64(buckets)
         lp, count = np.zeros(len(key)), np.zeros(len(word), np.int64)
         for k, x, c in zip(pdf["bucket"], pdf["lp"], pdf["c"], strict=True):
@@ -320,23 +334,17 @@ def ctw_score(docs: DataFrame, depth: int = 6, held_out: tuple[int, int] | None
         scale = np.log10(tokens + types + 1.0)
         base_end = np.log10(end_total + 1.0) - scale
         logs = np.log10(count + 1.0) - scale
-        rows = []
-        for a, b, ks, at, ws, woffs in parts:
-            x = np.concatenate([[0.0], np.cumsum(lp[np.searchsorted(key, ks)])])
-            i = np.searchsorted(word, ws)
-            y, known = np.concatenate([[0.0], np.cumsum(logs[i])]), np.concatenate([[0], np.cumsum(count[i] > 0)])
-            rows.append(
-                pd.DataFrame(
-                    {
-                        "n_tokens": np.diff(woffs) + 1,
-                        "n_known": known[woffs[1:]] - known[woffs[:-1]] + int(end_total > 0),
-                        "base_score": y[woffs[1:]] - y[woffs[:-1]] + base_end,
-                        "score": (x[at[1:]] - x[at[:-1]]) * float(np.log10(2.0)),
-                        "n_bytes": np.diff(at),
-                    }
-                )
-            )
-        out = pd.concat(rows, ignore_index=True)
+        x = np.concatenate([[0.0], np.cumsum(lp[code])])
+        y, known = np.concatenate([[0.0], np.cumsum(logs[words_code])]), np.concatenate([[0], np.cumsum(count[words_code] > 0)])
+        out = pd.DataFrame(
+            {
+                "n_tokens": np.diff(woffs) + 1,
+                "n_known": known[woffs[1:]] - known[woffs[:-1]] + int(end_total > 0),
+                "base_score": y[woffs[1:]] - y[woffs[:-1]] + base_end,
+                "score": (x[at[1:]] - x[at[:-1]]) * float(np.log10(2.0)),
+                "n_bytes": np.diff(at),
+            }
+        )
         out.insert(0, "doc_id", pd.array(block.id_list(), dtype="Int64"))
         out.insert(1, "held_out", held)
         out["train_tokens"] = np.int64(tokens)
