@@ -55,11 +55,13 @@ class Block:
 
 
 def pack(docs: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
-    """The block table of ``docs`` (doc_id, text; null text is empty); read, packed and written once.
+    """The block table of ``docs`` (doc_id, text; null text is empty), by id within a block; read, packed and written once.
     ``columns`` travel along as they are."""
     block_bytes = BLOCK_BYTES
 
     def flush(part: int, k: int, ids: list, texts: list, more: list) -> pa.RecordBatch:
+        order = sorted(range(len(ids)), key=lambda k: ids[k] or 0)  # stable
+        ids, texts = [ids[k] for k in order], [texts[k] for k in order]
         raw = b"".join(t + b"\n" for t in texts)
         cols = [
             np.array([i or 0 for i in ids], np.int64).tobytes(),
@@ -69,7 +71,7 @@ def pack(docs: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
         ]
         extra = None
         if columns:
-            table = pa.Table.from_batches(more)
+            table = pa.Table.from_batches(more).take(pa.array(order, pa.int64()))
             with pa.BufferOutputStream() as sink:
                 with pa.ipc.new_stream(sink, table.schema) as w:
                     w.write_table(table)

@@ -81,6 +81,13 @@ def earlier_copies(rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return later, shared
 
 
+def previous_factors_of(data: np.ndarray, depth: int) -> np.ndarray:
+    """Whether each position starts an earlier copy of ``depth`` bytes that fits in ``data``."""
+    later, _ = earlier_copies(suffix_ranks(data, depth))
+    later[max(0, len(data) - depth + 1) :] = False
+    return later
+
+
 class _Batch:
     """One batch of documents: prefix hashes, window minima and winnowed grams."""
 
@@ -218,6 +225,10 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
     later[1:] = k[1:] == k[:-1]
     shared |= later
     shared[:-1] |= later[1:]
+    # earlier in another block; what is earlier in the same one, the block knows itself
+    head = np.maximum.accumulate(np.where(later, 0, np.arange(len(k)))) if len(k) else who
+    at = block[who[order] >> 3]
+    later = at != at[head]
     out = []
     for flag in (shared, later):
         bits = np.zeros(len(core) * 8, bool)
