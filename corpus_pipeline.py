@@ -1,7 +1,7 @@
 """Corpus preparation: stages over ``documents``, each from and to Parquet.
 
 Language ID drops texts without a letter or implausible in every language; near-duplicate classes
-keep one document; repeated 400-byte strings keep their first copy; documents with a benchmark
+keep one document; repeated 200-byte strings keep their first copy; documents with a benchmark
 item go; what is left is packed. All stages but the last return the columns of ``documents``.
 """
 
@@ -30,9 +30,10 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later copies of 400-byte strings; characters that a cut breaks go, n_chars follows."""
+    """Texts without later copies of 200-byte strings, which any passage of 50 words holds; characters that a cut
+    breaks go, n_chars follows."""
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    cut = suffix_array_dedup(docs, width=400, keep="first", columns=rest).withColumn("text", F.col("kept_text"))
+    cut = suffix_array_dedup(docs, width=200, keep="first", columns=rest).withColumn("text", F.col("kept_text"))
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
