@@ -8,9 +8,10 @@ the probability of their weighted Jaccard similarity. A text needs about m (ln m
 whatever its length: points later than that are not made, unless a register is still empty.
 
 Banding proposes; the multiset overlap of the texts decides. In a band's bucket every text is
-compared to the least one, a star instead of all pairs. Buckets whose texts then still belong to
-several components are asked again: every text against one text of each other component there,
-until a round adds no link. Equal texts are one node throughout.
+compared to one text, a star instead of all pairs, so comparisons grow with the texts. Texts in
+buckets that then still hold several components are banded again by more rows, which unlike
+texts rarely share, and compared to stars with other centres, until a round adds no link.
+Equal texts are one node throughout.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ SHINGLE = 5
 BANDS = 32
 ROWS = 5
 THRESHOLD = 0.8
+#: Bands and rows of the second banding, for texts whose buckets still hold several components.
+SHARP = (48, 8)
 BATCH = 4 << 20
 
 
@@ -167,7 +170,25 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
             return label
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, rounds: int = 4) -> DataFrame:
+def _sharpened(texts: DataFrame) -> DataFrame:
+    """node, n, bands of texts (node, text) by bands of more rows, which unlike texts rarely share."""
+    count, rows = SHARP
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                b = batch.slice(at, 500)
+                t = b.column(1).to_pylist()
+                d, h, c = shingles(t)
+                keys = band_keys(signatures(d, h, c, len(t), count * rows), rows).view(np.int64)
+                n = np.bincount(d, weights=c, minlength=len(t)).astype(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(t) + 1, dtype=np.int32) * count), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), lists], names=["node", "n", "bands"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, n long, bands array<long>")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, rounds: int = 3) -> DataFrame:
     """Class of every row: rows are linked if their five-word shingle multisets overlap by ``threshold``.
 
     docs: doc_id, text; other columns are ignored. One row per input row: doc_id, key (md5 of the text), class_id (the least
@@ -191,13 +212,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     tested = materialize(pairs, "pairs-0")
     links = materialize(_verified(tested, texts, threshold), "links-0")
     comp = components(links, "comp-0")
+    inside = stars.select("band", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    torn = inside.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("band")
+    open_nodes = inside.join(torn, "band").select("node").distinct()
+    sharp = materialize(_sharpened(texts.join(open_nodes, "node")), "sharp")
+    band = sharp.select("node", "n", F.explode("bands").alias("band"))
     for k in range(1, rounds + 1):
-        inside = stars.select("band", "node", "n").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        torn = inside.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("band")
-        inside = materialize(inside.join(torn, "band"), f"torn-{k}")
-        pick = F.min if k % 2 else F.max
-        lead = inside.groupBy("band", "comp").agg(pick(F.struct("node", "n")).alias("l")).select("band", F.col("comp").alias("other"), F.col("l.node").alias("lead"), F.col("l.n").alias("other_n"))
-        more = inside.join(lead, "band").where("comp <> other").where(like).select(F.greatest("node", "lead").alias("a"), F.least("node", "lead").alias("b")).distinct()
+        inside = band.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        centre = F.struct(F.xxhash64("node", "band", F.lit(k)), F.col("node"), F.col("n"), F.col("comp"))
+        heads = inside.groupBy("band").agg(F.min(centre).alias("head"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
+        heads = heads.select("band", F.col("head.node").alias("head"), F.col("head.n").alias("other_n"), F.col("head.comp").alias("other"))
+        more = inside.join(heads, "band").where("comp <> other").where(like).select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct()
         done = tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         more = materialize(more.join(done, ["a", "b"], "left_anti"), f"pairs-{k}")
         fresh = materialize(_verified(more, texts, threshold), f"links-{k}")
