@@ -61,7 +61,8 @@ def balanced_label_propagation(docs: DataFrame, shards: int = 8, rounds: int = R
     seat = F.least(F.lit(shards - 1), ((F.col("before") + (F.col("part") + 0.5) * F.col("members") / F.col("parts")) / share).cast("int"))
     fixed = of_hot.select("uid", "doc_id", "size", "text_crc32", "link", "part", seat.alias("shard"))
     start = F.pmod(F.xxhash64("uid", F.lit(1)), F.lit(shards)).cast("int")
-    moving = nodes.join(cold, "link").select("uid", "doc_id", "size", "text_crc32", "link", F.lit(0).alias("part"), start.alias("shard"))
+    rest = nodes.join(F.broadcast(hot.select("link")), "link", "left_anti")  # so that no key of the next join is large
+    moving = rest.join(cold, "link").select("uid", "doc_id", "size", "text_crc32", "link", F.lit(0).alias("part"), start.alias("shard"))
     linked = materialize(fixed.unionByName(moving), "linked-0")
     for k in range(rounds):
         linked = materialize(_round(linked, shards, quota, k), f"linked-{k + 1}")
@@ -112,11 +113,11 @@ def _round(linked: DataFrame, shards: int, quota: list[int], k: int) -> DataFram
 def _places(rows: DataFrame, total: int, shards: int, quota: list[int]) -> DataFrame:
     """Exact counts and slots. Rows beyond a shard's quota (unlinked ones first) take the free slots of others in order."""
     buckets = max(1, min(MOST_BUCKETS, total // (shards * 50_000) + 1))
-    rows = rows.withColumn("bucket", F.col("loose") * buckets + F.pmod(F.xxhash64("link"), F.lit(buckets)).cast("int"))
+    rows = rows.withColumn("bucket", F.col("loose") * buckets + F.pmod(F.xxhash64("uid", F.lit(3)), F.lit(buckets)).cast("int"))
     counts = rows.groupBy("shard", "bucket").count()  # 2 * 4096 rows a shard at most
     w = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "bucket", F.coalesce(F.sum("count").over(w), F.lit(0)).alias("base"))
-    rank = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("link", "uid"))
+    rank = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("uid"))
     placed = rows.withColumn("rank", rank).join(F.broadcast(offsets), ["shard", "bucket"]).withColumn("at", F.col("base") + F.col("rank") - 1)
     load = _loads(rows, shards)
     spill, before = F.lit(None).cast("long"), 0
