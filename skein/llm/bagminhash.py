@@ -170,6 +170,13 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
             return label
 
 
+def _spread_join(rows: DataFrame, by_key: DataFrame, parts: int = 1000) -> DataFrame:
+    """rows with their key's values; keys of more than 1/``parts`` of the rows, at most ``parts``, are broadcast."""
+    large = by_key.where(F.col("text_copies") > max(1, rows.count() // parts))
+    cold = rows.join(F.broadcast(large.select("key")), "key", "left_anti").join(by_key, "key")
+    return rows.join(F.broadcast(large), "key").unionByName(cold)
+
+
 def _sharpened(texts: DataFrame) -> DataFrame:
     """node, n, bands of texts (node, text) by bands of more rows, which unlike texts rarely share."""
     count, rows = SHARP
@@ -207,8 +214,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     pairs = stars.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"), "n", F.col("head_n").alias("other_n")).where(like).select("a", "b").distinct()
     wanted = stars.select("node").distinct().join(nodes.select("node", "key"), "node")
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    found = docs.select(F.unhex(F.md5(text)).alias("key"), text.alias("text")).join(wanted, "key")
-    texts = materialize(found.groupBy("node").agg(F.first("text").alias("text")), "texts")
+    # copies are one row a task before they are dealt by their text
+    distinct = docs.select(F.unhex(F.md5(text)).alias("key"), text.alias("text")).groupBy("key").agg(F.first("text").alias("text"))
+    texts = materialize(distinct.join(wanted, "key").select("node", "text"), "texts")
     tested = materialize(pairs, "pairs-0")
     links = materialize(_verified(tested, texts, threshold), "links-0")
     comp = components(links, "comp-0")
@@ -238,7 +246,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     told = copies.join(key_class, "key")
     classes = told.groupBy("class").agg(F.min("least").alias("first"), F.sum("text_copies").alias("class_size"))
     by_key = told.select("key", "class", "text_copies").join(classes, "class").select("key", "text_copies", "class_size", F.col("first.doc_id").alias("class_id"), F.col("first.uid").alias("first_uid"))
-    return rowed.join(by_key, "key").select("doc_id", "key", "class_id", "class_size", "text_copies", (F.col("uid") == F.col("first_uid")).alias("kept"))
+    return _spread_join(rowed, materialize(by_key, "by-key")).select("doc_id", "key", "class_id", "class_size", "text_copies", (F.col("uid") == F.col("first_uid")).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
