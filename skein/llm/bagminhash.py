@@ -10,7 +10,10 @@ whatever its length: points later than that are not made, unless a register is s
 Banding proposes; the multiset overlap of the texts decides. In a band's bucket every text is
 compared to one text, a star instead of all pairs, so comparisons grow with the texts. Texts in
 buckets that then still hold several components are banded again by more rows, which unlike
-texts rarely share, and compared to stars with other centres, until a round adds no link.
+texts rarely share, and compared to stars with other centres. Stars only save comparisons: at the end
+the texts of every bucket of the first banding that still holds several components are joined by the rarest
+shingles of each, of which two texts that overlap enough share one. So every pair that
+shares a bucket is compared, is in one class already, or cannot overlap enough.
 Equal texts are one node throughout.
 """
 
@@ -33,6 +36,9 @@ ROWS = 5
 THRESHOLD = 0.8
 #: Bands and rows of the second banding, for texts whose buckets still hold several components.
 SHARP = (48, 8)
+#: Texts whose shingles are counted to tell common shingles from rare ones, and the number of common ones
+#: kept. They set the order of shingles in the last join, so its cost and never its result.
+COUNTED, COMMON = 20_000, 200_000
 BATCH = 4 << 20
 
 
@@ -137,13 +143,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
             a, b, ta, tb = (batch.column(k).to_pylist() for k in range(4))
             ok = []
             for at in range(0, len(a), 64):
-                both = ta[at : at + 64] + tb[at : at + 64]
-                d, h, c = shingles(both)
+                text = dict(zip(a[at : at + 64] + b[at : at + 64], ta[at : at + 64] + tb[at : at + 64], strict=True))
+                d, h, c = shingles(list(text.values()))
                 order = np.lexsort((h, d))
-                h, c, edge = h[order], c[order], np.searchsorted(d[order], np.arange(len(both) + 1))
-                sets = [(h[edge[k] : edge[k + 1]], c[edge[k] : edge[k + 1]]) for k in range(len(both))]
-                half = len(both) // 2
-                ok.extend(at + k for k in range(half) if overlap(sets[k], sets[half + k]) >= threshold)
+                h, c, edge = h[order], c[order], np.searchsorted(d[order], np.arange(len(text) + 1))
+                sets = {x: (h[edge[k] : edge[k + 1]], c[edge[k] : edge[k + 1]]) for k, x in enumerate(text)}
+                ok.extend(k for k in range(at, min(at + 64, len(a))) if overlap(sets[a[k]], sets[b[k]]) >= threshold)
             yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in ok], pa.int64()), pa.array([b[k] for k in ok], pa.int64())], names=["a", "b"])
 
     one = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
@@ -195,9 +200,76 @@ def _sharpened(texts: DataFrame) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node long, n long, bands array<long>")
 
 
+def _common(texts: DataFrame) -> np.ndarray:
+    """Hashes of common shingles of texts (node, text), the least common first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, count = np.unique(shingles(b.column(0).to_pylist())[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(count)], names=["h", "c"])
+
+    some = F.pmod(F.xxhash64("node", F.lit(11)), F.lit(1 << 20)) < F.lit(min(1.0, COUNTED / max(1, texts.count())) * (1 << 20))
+    counts = texts.where(some).select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c > 1")
+    rows = counts.orderBy(F.desc("c"), "h").limit(COMMON).select("h").toArrow()
+    return rows.column(0).to_numpy().view(U64)[::-1]
+
+
+def _rarest(texts: DataFrame, threshold: float) -> DataFrame:
+    """node, n, lead, tokens of texts (node, text): the rarest shingles of each, so many that texts overlapping by ``threshold``
+    share one, of which the shorter text has it among its first ``lead``."""
+    common = _common(texts)
+    order = np.argsort(common)
+    sent = texts.sparkSession.sparkContext.broadcast((common[order], order + 1))  # at most COMMON
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, place = sent.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                b = batch.slice(at, 500)
+                d, h, c = shingles(b.column(1).to_pylist())
+                rank = np.zeros(len(h), np.int64)
+                if len(known):
+                    k = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    rank = np.where(known[k] == h, place[k], 0)
+                # the i-th copy of a shingle is an element of its own
+                copy = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+                d, rank, x = np.repeat(d, c), np.repeat(rank, c), mix64(np.repeat(h, c) + copy.astype(U64) * U64(0xD1B54A32D192ED03))
+                o = np.lexsort((x, rank, d))
+                d, x = d[o], x[o]
+                n = np.bincount(d, minlength=b.num_rows)
+                first = np.cumsum(n) - n
+                reach = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
+                lead = n - np.ceil(2 * threshold / (1 + threshold) * n - 1e-9).astype(np.int64) + 1
+                reach, lead = np.minimum(reach, n), np.minimum(lead, n)
+                use = np.arange(len(d)) - first[d] < reach[d]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(reach)]).astype(np.int32)), pa.array(x[use].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(lead), lists], names=["node", "n", "lead", "tokens"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, n long, lead long, tokens array<long>")
+
+
+def _rest(texts: DataFrame, comp: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a > b) of texts (node, text) of different components that may overlap by ``threshold``; no other pair does."""
+    rare = materialize(_rarest(texts, threshold), "rarest").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    long = rare.select("node", "n", "comp", "lead", F.posexplode("tokens").alias("at", "token"))
+    short = long.where("at < lead").select("token", F.col("node").alias("s"), F.col("n").alias("sn"), F.col("comp").alias("s_comp"), F.col("at").alias("s_at"))
+    on = long.join(short, "token").where(f"comp <> s_comp and (sn < n or (sn = n and s < node)) and sn >= {threshold} * n")
+    most = "least(at, s_at) + least(n - at, sn - s_at)"  # shingles that can be shared, from the places of a shared one
+    on = on.where(f"{most} >= {threshold} * (n + sn - ({most}))")
+    return on.select(F.greatest("node", "s").alias("a"), F.least("node", "s").alias("b")).distinct()
+
+
+def _torn(stars: DataFrame, comp: DataFrame) -> DataFrame:
+    """node of the texts in buckets of several components."""
+    inside = stars.select("band", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    torn = inside.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("band")
+    return inside.join(torn, "band").select("node").distinct()
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, rounds: int = 3) -> DataFrame:
     """Class of every row: rows are linked if their five-word shingle multisets overlap by ``threshold``.
 
+    ``rounds`` bounds the rounds of stars only, not the pairs that are compared in the end.
     docs: doc_id, text; other columns are ignored. One row per input row: doc_id, key (md5 of the text), class_id (the least
     doc_id of the class), class_size (rows), text_copies (rows with this very text), kept (one row of
     each class: the least doc_id, of equal ids an arbitrary one). Null and empty texts are one
@@ -220,10 +292,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     tested = materialize(pairs, "pairs-0")
     links = materialize(_verified(tested, texts, threshold), "links-0")
     comp = components(links, "comp-0")
-    inside = stars.select("band", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    torn = inside.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("band")
-    open_nodes = inside.join(torn, "band").select("node").distinct()
-    sharp = materialize(_sharpened(texts.join(open_nodes, "node")), "sharp")
+    sharp = materialize(_sharpened(texts.join(_torn(stars, comp), "node")), "sharp")
     band = sharp.select("node", "n", F.explode("bands").alias("band"))
     for k in range(1, rounds + 1):
         inside = band.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -239,6 +308,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
         tested = tested.unionByName(more)
         links = links.unionByName(fresh)
         comp = components(links, f"comp-{k}")
+    left = materialize(texts.join(_torn(stars, comp), "node").select("node", "text"), "torn")
+    done = tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    more = materialize(_rest(left, comp, threshold).join(done, ["a", "b"], "left_anti"), "pairs-rest")
+    fresh = materialize(_verified(more, texts, threshold), "links-rest")
+    if fresh.limit(1).count():
+        comp = components(links.unionByName(fresh), "comp-rest")
     own = docs.select(F.col("doc_id").cast("long"), F.unhex(F.md5(text)).alias("key"))
     key_class = nodes.select("node", "key").join(comp, "node", "left").select("key", F.coalesce("comp", "node").alias("class"))
     rowed = materialize(own.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "key"), "rows")

@@ -191,6 +191,42 @@ def test_near_duplicates(spark):
     assert sum(r.kept for r in got) == 5
 
 
+def test_near_duplicates_of_a_template(spark):
+    """Texts of one template and ten slots of four fillings, which share crowded buckets: classes are those of all pairs, without any
+    round of stars."""
+    rng = np.random.default_rng(3)
+    slots = rng.integers(0, 4, (300, 10))
+    for i in range(3, 300, 4):  # a partner with two other fillings
+        slots[i] = slots[i - 1]
+        k = int(rng.integers(0, 9))
+        slots[i, k : k + 2] = (slots[i, k : k + 2] + 1) % 4
+    head = [f"t{k}" for k in range(300)]
+    rows = [(i, " ".join(head + [f"s{k}_{x}_{j}" for k, x in enumerate(s) for j in range(20)])) for i, s in enumerate(slots)]
+    sets = [Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for w in (t.split() for _, t in rows)]
+    at: dict = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            at.setdefault(x, []).append(i)
+    size = np.array([len(s) for s in sets])  # no text repeats a shingle
+    assert all(len(s) == sum(s.values()) for s in sets)
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, s in enumerate(sets):
+        both = np.bincount(np.concatenate([at[x] for x in s]), minlength=len(rows))
+        for j in np.flatnonzero(both >= 0.8 * (size[i] + size - both)).tolist():
+            x, y = sorted((root(i), root(j)))
+            parent[y] = x
+    want = [root(i) for i in range(len(rows))]
+    assert 100 < len(set(want)) <= 225
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), rounds=0).collect()}
+    assert sum(got[i] != want[i] for i in range(len(rows))) == 0
+
+
 def test_weighted_signatures_are_unbiased():
     from skein.llm.bagminhash import signatures
 
