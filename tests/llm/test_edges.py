@@ -19,7 +19,7 @@ from skein.llm.lpf import lpf_array, previous_factors_of, suffix_array_dedup
 from skein.llm.packing import pack_related
 from skein.llm.quality import cascade
 from skein.llm.sharding import balanced_label_propagation
-from skein.llm.toxicity import toxicity
+from skein.llm.toxicity import toxicity, train
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, block long, node long, key string, bucket int, n int, kept boolean"
@@ -296,6 +296,14 @@ def test_toxicity(spark, docs):
     assert toxicity(docs, labels.limit(0)).where("score = 0").count() == docs.count()
 
 
+def test_toxicity_learns_trigrams_of_whole_texts(spark):
+    rows = [(i, sentence(i, 1500) + " qxjzv") for i in range(40)]
+    assert all(len(t) > 5000 for _, t in rows)
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    tri = train(spark.createDataFrame(rows, "doc_id long, text string"), labels).channel.tri
+    assert tri["xjz"] == tri["^^q"] == tri["zv$"] > 0
+
+
 def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     items = spark.createDataFrame([], "item_id long, text string")
