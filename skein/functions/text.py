@@ -100,3 +100,15 @@ def html_escape(text: Column) -> Column:
     for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         text = F.replace(text, F.lit(raw), F.lit(entity))
     return text
+
+
+#: What a reader is told of each kind of refusal; no refusal is an answer.
+OUTCOME_LABELS = {"content": "Declined: the passages do not hold the answer", "threshold": "Declined: no passage is close enough"}
+
+
+def outcome_label(refusal_type: Column) -> Column:
+    """A label for display."""
+    out = F.lit("Answered")
+    for kind, label in OUTCOME_LABELS.items():
+        out = F.when(refusal_type == kind, F.lit(label)).otherwise(out)
+    return out

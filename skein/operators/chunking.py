@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.text import fold_nbsp, is_heading, lines, model_tokens, strip
+from skein.functions.text import fold_nbsp, is_heading, is_numbered_clause, lines, model_tokens, strip
 
 SIZE, OVERLAP, SHORT, RUNT = 500, 50, 100, 30
 
@@ -31,22 +31,21 @@ def _windows(tok: DataFrame, starts: Column, size: int) -> DataFrame:
     return cut.select(*[c for c in tok.columns if c not in ("__t", "text")], "seq", F.size(piece).alias("n_tokens"), F.array_join(piece, "").alias("chunk"))
 
 
+def bound(value: Column, body) -> Column:
+    """body(value) with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def segments(text: Column) -> Column:
     """Trimmed segments: a blank line or a heading ends one; a heading begins the next."""
-    state = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("open"))
-
-    def flush(s: Column) -> Column:
-        return F.when(F.size(s["open"]) > 0, F.array_append(s["done"], F.array_join(s["open"], "\n"))).otherwise(s["done"])
 
-    def step(s: Column, line: Column) -> Column:
-        blank = strip(line) == ""
-        begin = ~blank & is_heading(line)
-        done = F.when(blank | begin, flush(s)).otherwise(s["done"])
-        rest = F.when(blank, F.array().cast("array<string>")).when(begin, F.array(line)).otherwise(F.array_append(s["open"], line))
-        return F.struct(done.alias("done"), rest.alias("open"))
+    def cut(ls: Column) -> Column:
+        marked = F.filter(F.transform(ls, lambda x, i: F.when((strip(x) == "") | is_heading(x) | (i == 0), i)), lambda i: i.isNotNull())
+        # a segment is the lines from one mark to the next; blank lines are all marks
+        part = lambda at: F.transform(at, lambda i, k: strip(F.array_join(F.slice(ls, i + 1, F.coalesce(F.get(at, k + 1), F.size(ls)) - i), "\n")))
+        return F.filter(bound(marked, part), lambda x: x != "")
 
-    every = F.aggregate(lines(text), state, step, flush)
-    return F.filter(F.transform(every, strip), lambda x: x != "")
+    return bound(lines(text), cut)
 
 
 def has_heading(text: Column) -> Column:
@@ -54,33 +53,31 @@ def has_heading(text: Column) -> Column:
 
 
 def merge_short(parts: Column, least: int = SHORT) -> Column:
-    """Join runs of short segments with a blank line until they reach ``least`` tokens; a short tail joins what is before it."""
-    state = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("n"))
+    """Join runs of short segments with a blank line until they reach ``least`` tokens; a short tail joins what is before it.
 
-    def step(s: Column, x: Column) -> Column:
-        size = F.size(model_tokens(x))
-        alone = (size >= least) & (F.size(s["open"]) == 0)
-        both = F.array_append(s["open"], x)
+    Tokens are counted once a segment; the fold runs over these counts and gives where each merged one ends."""
+    counts = F.transform(parts, lambda x: F.size(model_tokens(x)))
+    state = F.struct(F.array().cast("array<int>").alias("ends"), F.lit(0).alias("n"), F.lit(0).alias("at"))
+
+    def step(s: Column, size: Column) -> Column:
         full = s["n"] + size >= least
-        empty = F.array().cast("array<string>")
-        return F.struct(
-            F.when(alone, F.array_append(s["done"], x)).when(full, F.array_append(s["done"], F.array_join(both, "\n\n"))).otherwise(s["done"]).alias("done"),
-            F.when(alone | full, empty).otherwise(both).alias("open"),
-            F.when(alone | full, F.lit(0)).otherwise(s["n"] + size).alias("n"),
-        )
+        at = s["at"] + 1
+        return F.struct(F.when(full, F.array_append(s["ends"], at)).otherwise(s["ends"]).alias("ends"), F.when(full, F.lit(0)).otherwise(s["n"] + size).alias("n"), at.alias("at"))
 
-    def end(s: Column) -> Column:
-        tail = F.array_join(s["open"], "\n\n")
-        joined = F.array_append(F.slice(s["done"], 1, F.greatest(F.size(s["done"]) - 1, F.lit(0))), F.concat_ws("\n\n", F.element_at(s["done"], -1), tail))
-        return F.when(F.size(s["open"]) == 0, s["done"]).when(F.size(s["done"]) == 0, F.array(tail)).otherwise(joined)
+    def close(s: Column) -> Column:
+        whole = F.size(s["ends"])
+        tail = F.when(F.get(s["ends"], whole - 1) == s["at"], s["ends"]).otherwise(F.array_append(F.slice(s["ends"], 1, F.greatest(whole - 1, F.lit(0))), s["at"]))
+        return F.when(s["at"] == 0, s["ends"]).when(whole == 0, F.array(s["at"])).otherwise(tail)
 
-    return F.aggregate(parts, state, step, end)
+    ends = F.aggregate(counts, state, step, close)
+    return bound(ends, lambda e: F.transform(e, lambda end, k: F.array_join(F.slice(parts, F.coalesce(F.get(e, k - 1), F.lit(0)) + 1, end - F.coalesce(F.get(e, k - 1), F.lit(0))), "\n\n")))
 
 
 def structured_chunks(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP, least: int = SHORT, runt: int = RUNT) -> DataFrame:
     """Clause-aware chunks of pages (…, text): folded spaces, segments, merged short ones, runts dropped, then windows."""
     folded = pages.withColumn("text", fold_nbsp(F.coalesce("text", F.lit(""))))
-    parts = folded.withColumn("__m", merge_short(segments(F.col("text")), least)).select(*[c for c in pages.columns if c != "text"], F.posexplode("__m").alias("segment", "text"))
+    cut = bound(segments(F.col("text")), lambda x: merge_short(x, least))
+    parts = folded.withColumn("__m", cut).select(*[c for c in pages.columns if c != "text"], F.posexplode("__m").alias("segment", "text"))
     return overlapping_windows(parts.where(F.size(model_tokens(F.col("text"))) >= runt), size, overlap)
 
 
@@ -114,16 +111,20 @@ def manifest(extracted: DataFrame) -> DataFrame:
     return per.agg(F.count("*").alias("documents_found"), F.count_if(F.col("bad").isNull()).alias("documents_succeeded"), F.count_if(F.col("bad").isNotNull()).alias("documents_failed"), F.array_sort(F.collect_list(F.when(F.col("bad").isNotNull(), bad))).alias("failures"))
 
 
-def pick_examples(chunks: DataFrame, keywords: list[str], wanted: int = 4) -> DataFrame:
-    """Up to ``wanted`` chunks (chunk_id, chunk) for display: of each keyword the first numbered clause not used yet, then the first others."""
-    from skein.functions.text import is_numbered_clause
+def pick_examples(chunks: DataFrame, keywords: list[str], wanted: int = 4, hint: str | None = None) -> DataFrame:
+    """place, chunk_id, keyword, chunk of up to ``wanted`` numbered clauses for display: of each keyword the first that holds it and
+    isn't used yet, then the first others. Chunks whose source_file holds ``hint`` come first, then those of lower chunk_id."""
+    first = F.when(F.upper("source_file").contains(hint.upper()), F.lit(0)).otherwise(F.lit(1)) if hint else F.lit(0)
+    base = chunks.where(is_numbered_clause(F.col("chunk"))).select("chunk_id", "chunk", first.alias("__o"), F.lower("chunk").alias("__l"))
+    used: list[tuple] = []
+    for word in [*keywords, None]:  # a few rows each
+        some = base.where(F.col("__l").contains(word.lower())) if word else base
+        left = [r[0] for r in some.orderBy("__o", "chunk_id").limit(wanted + len(used)).select("chunk_id").collect() if r[0] not in {u[0] for u in used}]
+        used += [(x, word or "any numbered clause") for x in left[: 1 if word else wanted - len(used)]][: wanted - len(used)]
+    picked = chunks.sparkSession.createDataFrame([(k, *u) for k, u in enumerate(used, 1)], f"place int, chunk_id {dict(chunks.dtypes)['chunk_id']}, keyword string")
+    return chunks.join(F.broadcast(picked), "chunk_id").select("place", "chunk_id", "keyword", "chunk")
+
 
-    base = chunks.select("chunk_id", "chunk", F.lower("chunk").alias("__l"), is_numbered_clause(F.col("chunk")).alias("__n"))
-    firsts = [base.where(F.col("__n") & F.col("__l").contains(k.lower())).orderBy("chunk_id").limit(wanted + i).select("chunk_id") for i, k in enumerate(keywords)]
-    used: list = []
-    for found in firsts:  # a few rows each
-        used += [r[0] for r in found.collect() if r[0] not in used][:1]
-    used = used[:wanted]
-    rest = base.where(~F.col("chunk_id").isin(used)) if used else base
-    used += [r[0] for r in rest.orderBy("chunk_id").limit(wanted - len(used)).select("chunk_id").collect()]
-    return chunks.where(F.col("chunk_id").isin(used))
+def search(chunks: DataFrame, phrase: str) -> DataFrame:
+    """Chunks that hold a phrase, in any case."""
+    return chunks.where(F.lower("chunk").contains(phrase.lower()))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.money import cents, differs, loose_number, printed
 from skein.functions.text import strip
+from skein.sources.sinks import append
 
 TOLERANCE = 0.05
 BOOKS = ["currency", "vendor", "invoice_date", "total", "vat_amount", "calculated_total"]
@@ -77,3 +78,9 @@ def books(checked: DataFrame) -> DataFrame:
 def review_queue(checked: DataFrame) -> DataFrame:
     """Rows for review; unlike a plain sheet, with the raw reply."""
     return checked.where("needs_review").select(*BOOKS, "review_reason", "raw_output")
+
+
+def deliver(checked: DataFrame, root: str) -> None:
+    """Append the rows of ``checked``, a stored table, to the two tables below ``root``."""
+    append(books(checked), f"{root}/books")
+    append(review_queue(checked), f"{root}/review_queue")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skein.functions.text import EMAIL_SAFE_PHONE, e164, strip
+from skein.sources.sinks import append, outbox
 
 FIELDS = ["name", "email", "phone", "company", "message"]
 INTENT = ["quote", "pricing", "bulk", "demo", "buy"]
@@ -76,3 +77,15 @@ def valid_or_dead(leads: DataFrame, stage: str, failed_at: Column | None = None)
 def dead_letter_digest(dead: DataFrame) -> DataFrame:
     """day, stage, failures, first and last time."""
     return dead.groupBy(F.to_date("failed_at").alias("day"), "stage").agg(F.count("*").alias("failures"), F.min("failed_at").alias("first_failure"), F.max("failed_at").alias("last_failure"))
+
+
+def deliver(routed_leads: DataFrame, root: str) -> None:
+    """Append routed leads, one table a destination; a lead that can't be delivered is a dead letter instead."""
+    good, dead = valid_or_dead(routed_leads, "deliver")
+    outbox(good, f"{root}/outbox")
+    append(dead, f"{root}/dead_letters")
+
+
+def company_in(message: Column) -> Column:
+    """A stand-in for a model that finds a company: the capitalised words after "from" or "at"; null if there are none."""
+    return F.nullif(F.regexp_extract(message, r"\b(?:from|at)\s+((?:[A-Z][A-Za-z0-9&]*)(?:\s+[A-Z][A-Za-z0-9&]*)*)", 1), F.lit(""))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.functions.text import order_number
+
 CONFIDENCE = 0.6
 #: Patterns that a draft of a branch must not contain; '*' holds for all.
 FORBIDDEN = [
@@ -65,6 +69,35 @@ def deflection(outcomes: DataFrame) -> DataFrame:
     return outcomes.agg(F.count("*").alias("tickets"), F.count_if(solved).alias("deflected"), F.avg(F.when(solved, F.lit(1.0)).otherwise(F.lit(0.0))).alias("rate"))
 
 
+LABELS = ["intent", "urgency", "sentiment", "confidence", "order_number"]
+
+
+def classified(tickets: DataFrame, classify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """tickets (ticket_id, text, …) with the labels that ``classify`` gives; a missing order number is looked for in the text,
+    and a confidence outside 0 to 1 is unknown."""
+    out = classify(tickets)
+    known = F.when(F.col("confidence").between(0, 1), F.col("confidence"))
+    return out.withColumn("confidence", known).withColumn("order_number", F.coalesce("order_number", order_number(F.col("text")))).select(*tickets.columns, *LABELS)
+
+
+def by_keywords(tickets: DataFrame) -> DataFrame:
+    """A deterministic stand-in for a model that classifies tickets."""
+    t = F.lower(F.coalesce("text", F.lit("")))
+    intent = F.when(t.rlike(r"\b(return|exchange)"), F.lit("return")).when(t.rlike(r"\b(where|track|deliver|order)"), F.lit("order_status")).when(t.rlike(r"\b(angry|complain|terrible)"), F.lit("complaint")).otherwise(F.lit("other"))
+    urgent = F.when(t.rlike(r"\b(urgent|today|now)\b"), F.lit("high")).otherwise(F.lit("normal"))
+    mood = F.when(t.rlike(r"\b(angry|terrible|complain)"), F.lit("negative")).otherwise(F.lit("neutral"))
+    sure = F.when(intent == "other", F.lit(0.3)).otherwise(F.lit(0.9))
+    return tickets.select("*", intent.alias("intent"), urgent.alias("urgency"), mood.alias("sentiment"), sure.alias("confidence"), F.lit(None).cast("string").alias("order_number"))
+
+
+def escalations(outcomes: DataFrame) -> DataFrame:
+    """ticket_id and a summary for the person who takes each escalated ticket: why, what was found, which rules its draft broke."""
+    broke = F.when(F.size("guardrail") > 0, F.concat(F.lit("draft broke "), F.size("guardrail").cast("string"), F.lit(" rules"))).otherwise(F.lit("no draft was sent"))
+    unsure = F.when(F.coalesce(F.col("confidence") < CONFIDENCE, F.lit(True)), F.lit("unsure")).otherwise(F.lit("sure"))
+    text = F.concat_ws("; ", F.concat(F.lit("intent "), F.coalesce("intent", F.lit("unknown")), F.lit(" ("), unsure, F.lit(")")), F.concat(F.col("matches").cast("string"), F.lit(" orders found")), broke)
+    return outcomes.where("outcome = 'escalate'").select("ticket_id", text.alias("summary"))
+
+
 def late(status: Column, expected: Column, as_of: Column, days: int = 7) -> Column:
     """Whether an undelivered order is past its date by more than ``days``."""
     return (status != "Delivered") & (F.datediff(as_of, expected) > days)

@@ -31,14 +31,14 @@ VECTORS = """
 v AS (
   SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank, chunk_id, score
   FROM (SELECT a.vec_id AS qid, b.vec_id AS chunk_id, round(list_cosine_similarity(b.embedding::DOUBLE[], a.embedding::DOUBLE[]), 9) AS score
-        FROM embeddings a, embeddings b WHERE a.vec_id < 5 AND b.vec_id >= 5)
+        FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)
   QUALIFY rank <= 20
 )"""
 
 FUSED = TOP + "," + VECTORS + """
 , fu AS (
   SELECT qid, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS fused, min(vr) AS vector_rank, min(lr) AS lexical_rank
-  FROM (SELECT qid, chunk_id, rank, rank AS vr, NULL AS lr FROM v UNION ALL SELECT qid, chunk_id, rank, NULL, rank FROM top WHERE qid < 5)
+  FROM (SELECT qid, chunk_id, rank, rank AS vr, NULL AS lr FROM v UNION ALL SELECT qid, chunk_id, rank, NULL, rank FROM top WHERE qid % 20 = 0)
   GROUP BY qid, chunk_id
 ), rrf AS (
   SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY fused DESC, vector_rank NULLS LAST, lexical_rank NULLS LAST, chunk_id) AS rank, chunk_id, fused, vector_rank, lexical_rank
@@ -124,8 +124,8 @@ t AS (
     nullif(regexp_extract(CASE WHEN conv_id % 3 = 0 THEN 'ORD-' || (10000 + conv_id % 40) ELSE text END, 'ORD-[0-9]+'), '') AS num
   FROM conversations WHERE turn = 0
 ), o AS (
-  SELECT 'ORD-' || (10000 + o_orderkey) AS num, 'user' || (o_orderkey % 20) || '@example.com' AS email, CASE WHEN o_orderkey % 7 = 0 THEN 'refund voucher' ELSE 'lamp' END AS item
-  FROM orders WHERE o_orderkey < 25
+  SELECT 'ORD-' || (10000 + o_orderkey) AS num, 'user' || (o_orderkey // 3) || '@example.com' AS email, CASE WHEN o_orderkey % 7 = 0 THEN 'refund voucher' ELSE 'lamp' END AS item
+  FROM orders
 ), lk AS (
   SELECT t.*, CASE WHEN confidence < 0.6 THEN 'escalate' WHEN intent IN ('order_status', 'return') THEN intent ELSE 'escalate' END AS route, count(o.num) AS matches,
     coalesce(string_agg(DISTINCT o.num, ',' ORDER BY o.num), '') AS found, min(o.num) AS one, min(o.item) AS item
@@ -142,7 +142,7 @@ ORACLE: dict[str, str] = {
     "bm25_stats": f"WITH {CORPUS} SELECT term, df, CAST(tf_total AS BIGINT) AS tf_total, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM dfs, stat",
     "vector_topk": f"WITH {VECTORS} SELECT qid, CAST(rank AS INT) AS rank, chunk_id, round(score, 4) AS score FROM v",
     "rrf_fusion": f"WITH {FUSED} SELECT qid, CAST(rank AS INT) AS rank, chunk_id, round(fused, 6) AS fused, CAST(vector_rank AS INT) AS vector_rank, CAST(lexical_rank AS INT) AS lexical_rank FROM rrf",
-    "hybrid_gate": f"""WITH {FUSED}, g AS (SELECT item_id AS qid, coalesce(max(score), 0.0) AS bm25_top FROM benchmark LEFT JOIN top ON qid = item_id WHERE item_id < 5 GROUP BY item_id)
+    "hybrid_gate": f"""WITH {FUSED}, g AS (SELECT id AS qid, coalesce(max(score), 0.0) AS bm25_top FROM (SELECT vec_id AS id FROM embeddings UNION SELECT item_id FROM benchmark) LEFT JOIN top ON qid = id WHERE id % 20 = 0 GROUP BY id)
 SELECT g.qid, CAST(x.rank AS INT) AS rank, x.chunk_id, round(v.score, 4) AS similarity, bm25_top >= 150.0 AS used_hybrid, round(bm25_top, 4) AS bm25_top
 FROM g JOIN (SELECT qid, rank, chunk_id, true AS h FROM rrf UNION ALL SELECT qid, rank, chunk_id, false FROM v) x ON x.qid = g.qid AND x.h = (bm25_top >= 150.0)
 LEFT JOIN v ON v.qid = x.qid AND v.chunk_id = x.chunk_id""",
@@ -205,4 +205,55 @@ FROM conversations WHERE role = 'assistant'""",
     "seeded_sample_ids": "SELECT doc_id FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 60",
     "per_document_counts": "SELECT source AS document, count(*) AS entries FROM documents GROUP BY source",
     "stream_poll_dedupe": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1",
+    "stream_daily_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS failures FROM events GROUP BY 1, 2",
+    "ask_questions": f"""WITH {TOP}, e AS (SELECT * FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)), a AS (SELECT b.item_id AS qid, b.text AS question, e.embedding FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id),
+v AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank, chunk_id, score
+  FROM (SELECT a.qid, e.vec_id AS chunk_id, round(list_cosine_similarity(e.embedding::DOUBLE[], a.embedding::DOUBLE[]), 9) AS score FROM a, e) QUALIFY rank <= 20),
+lx AS (SELECT * FROM top WHERE qid IN (SELECT qid FROM a)),
+g AS (SELECT a.qid, coalesce(max(score), 0.0) AS bm25_top FROM a LEFT JOIN lx USING (qid) GROUP BY a.qid),
+fu AS (SELECT qid, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS fused, min(vr) AS vr, min(lr) AS lr
+  FROM (SELECT qid, chunk_id, rank, rank AS vr, NULL AS lr FROM v UNION ALL SELECT qid, chunk_id, rank, NULL, rank FROM lx) GROUP BY qid, chunk_id),
+cd AS (SELECT g.qid, bm25_top, bm25_top >= 150.0 AS hyb, x.rank AS was, x.chunk_id FROM g JOIN (
+  SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY fused DESC, vr NULLS LAST, lr NULLS LAST, chunk_id) AS rank, chunk_id, true AS h FROM fu QUALIFY rank <= 20
+  UNION ALL SELECT qid, rank, chunk_id, false FROM v) x ON x.qid = g.qid AND x.h = (bm25_top >= 150.0)),
+rr AS (SELECT cd.*, d.text, d.source || '.pdf' AS f, d.doc_id % 3 + 1 AS p, a.question, round(coalesce(len(list_intersect(list_distinct({terms('a.question')}), list_distinct({terms('d.text')})))::DOUBLE / nullif(len(list_distinct({terms('a.question')})), 0), 0.0), 6) AS rs
+  FROM cd JOIN documents d ON d.doc_id = cd.chunk_id JOIN a ON a.qid = cd.qid),
+t5 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rs DESC, was) AS rank FROM rr QUALIFY rank <= 5),
+pr AS (SELECT qid, string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY rank) AS chunks, CAST(count(DISTINCT (f, p)) AS INT) AS n_citations, bool_or(hyb) AS used_hybrid, max(bm25_top) AS bm25_top, max(rs) AS top_score, count(*) AS n,
+  length('Answer from these passages only.' || chr(10) || chr(10) || string_agg('[Source: ' || f || ', page ' || p || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || 'Question: ' || max(question)) AS l FROM t5 GROUP BY qid)
+SELECT qid, chunks, n_citations, used_hybrid, round(CASE WHEN true THEN bm25_top END, 4) AS bm25_top, top_score, CASE WHEN top_score < 0.5 THEN 'threshold' WHEN qid % 4 = 0 THEN 'content' END AS refusal_type, top_score < 0.5 OR qid % 4 = 0 AS refused, top_score < 0.5 AS generation_skipped,
+  CASE WHEN top_score < 0.5 THEN 'Declined: no passage is close enough' WHEN qid % 4 = 0 THEN 'Declined: the passages do not hold the answer' ELSE 'Answered' END AS label,
+  CASE WHEN top_score < 0.5 THEN 'The documents do not cover this.' ELSE n || ' passages, ' || l || ' characters' END AS answer FROM pr""",
+    "prompt_assembly": """WITH p AS (SELECT source || '.pdf' AS f, doc_id % 3 + 1 AS p, arg_min(text, doc_id) AS t FROM documents GROUP BY 1, 2)
+SELECT f AS source_file, md5('Answer from these passages only.' || chr(10) || chr(10) || string_agg('[Source: ' || f || ', page ' || p || ']' || chr(10) || t, chr(10) || chr(10) ORDER BY p) || chr(10) || chr(10) || 'Question: Why?') AS prompt_md5 FROM p GROUP BY f""",
+    "embed_with_retries": """SELECT doc_id, CASE WHEN length(text) % 5 = 0 THEN 'failed' ELSE 'done' END AS status, CASE WHEN length(text) % 5 <> 0 THEN CAST(length(text) AS BIGINT) END AS first, CASE WHEN length(text) % 5 = 0 THEN 'ValueError' END AS error FROM documents WHERE text IS NOT NULL""",
+    "collection_upsert": """WITH p AS (SELECT vec_id, CASE WHEN vec_id % 10 = 0 OR vec_id % 2 = 1 THEN 'new' ELSE 'old' END AS text FROM embeddings)
+SELECT text, count(*) AS n, CAST(sum(vec_id) AS BIGINT) AS ids, CAST(0 AS BIGINT) AS "before", (SELECT count(*) FROM embeddings) AS stored FROM p GROUP BY text""",
+    "limited_ids": "SELECT doc_id AS chunk_id FROM documents WHERE doc_id < 50",
+    "results_joined": "SELECT d.doc_id AS id, lang, CAST(quality AS INT) AS quality, CAST(toxic AS INT) AS toxic FROM documents d JOIN labels l USING (doc_id)",
+    "upsert_latest": "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
+    "append_once": "SELECT DISTINCT user_id AS id FROM events",
+    "copied_files": "SELECT string_split(url, '/')[-1] AS name, max(url) AS path FROM pages GROUP BY 1",
+    "scanned_manifest": """WITH s AS (SELECT 'f' || (page_id % 40) AS f, page_id % 37 = 0 AS bad FROM pages), b AS (SELECT f, bool_or(bad) AS bad, count(*) AS n FROM s GROUP BY f)
+SELECT count(*) AS documents_found, count(*) FILTER (NOT bad) AS documents_succeeded, count(*) FILTER (bad) AS documents_failed, CAST(coalesce(sum(n) FILTER (NOT bad), 0) AS BIGINT) AS pages, coalesce(string_agg(f, ',' ORDER BY f) FILTER (bad), '') AS failed FROM b""",
+    "numbered_clauses": rf"""SELECT doc_id, count(*) AS clauses FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM {HEADED}) WHERE regexp_matches(line, '^\s*[0-9]+(\.[0-9]+)*\s*\.?\s+\S') GROUP BY doc_id""",
+    "example_pick": """WITH c AS (SELECT doc_id, '1. ' || coalesce(text, '') AS t, CASE WHEN contains(upper(source || '.pdf'), '1') THEN 0 ELSE 1 END AS o FROM documents WHERE doc_id % 2 = 0 AND regexp_matches(coalesce(text, ''), '^[^ ]')),
+a AS (SELECT doc_id FROM c WHERE contains(lower(t), 'the') ORDER BY o, doc_id LIMIT 1), b AS (SELECT doc_id FROM c WHERE contains(lower(t), 'und') AND doc_id NOT IN (FROM a) ORDER BY o, doc_id LIMIT 1),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY o, doc_id) AS k FROM c WHERE doc_id NOT IN (FROM a) AND doc_id NOT IN (FROM b)),
+u AS (SELECT 1 AS g, doc_id, 'THE' AS keyword FROM a UNION ALL SELECT 2, doc_id, 'und' FROM b UNION ALL SELECT 2 + k, doc_id, 'any numbered clause' FROM r)
+SELECT CAST(row_number() OVER (ORDER BY g) AS INT) AS place, doc_id AS chunk_id, keyword FROM u QUALIFY row_number() OVER (ORDER BY g) <= 4""",
+    "phrase_search": "SELECT doc_id FROM documents WHERE contains(lower(text), 'the ')",
+    "source_membership": "SELECT doc_id FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE doc_id % 100 = 7)",
+    "invoice_sinks": f"""WITH {INVOICES} SELECT CASE WHEN reason <> '' THEN 'review_queue' ELSE 'books' END AS sink, CASE WHEN k <> 4 THEN 'v' || m END AS vendor, regexp_replace(reason, ' [0-9.]+', '', 'g') AS review_reason, k = 4 AS has_raw, count(*) AS n FROM y GROUP BY ALL""",
+    "lead_outbox": f"""WITH {LEADS}, s AS (SELECT email, CAST(intent AS INT) + CAST(company IS NOT NULL AS INT) + CAST(phone IS NOT NULL AS INT) AS points FROM raw),
+r AS (SELECT email, unnest(CASE WHEN points >= 3 THEN ['crm', 'alerts', 'records'] WHEN points >= 1 THEN ['crm', 'records'] ELSE ['records'] END) AS destination FROM s)
+SELECT CASE WHEN email = '' THEN 'dead_letters' ELSE destination END AS destination, count(*) AS n FROM r GROUP BY 1""",
+    "lead_company": f"""WITH {LEADS} SELECT k AS lead_id, k % 4 <> 0 OR company IS NULL OR k % 3 = 2 AS needs_cleanup, CASE WHEN company IS NOT NULL AND k % 3 <> 2 THEN company WHEN k % 2 = 0 THEN 'Acme N' || (k % 9) END AS cleaned_company FROM raw""",
+    "ticket_classify": """SELECT conv_id AS ticket_id, CASE conv_id % 3 WHEN 0 THEN 'order_status' WHEN 1 THEN 'return' ELSE 'other' END AS intent, CASE WHEN conv_id % 3 = 0 THEN 'high' ELSE 'normal' END AS urgency,
+  CASE WHEN conv_id % 3 = 1 THEN 'negative' ELSE 'neutral' END AS sentiment, CASE WHEN conv_id % 3 = 0 THEN 'ORD-' || conv_id END AS order_number, CASE conv_id % 3 WHEN 0 THEN 'order_status' WHEN 1 THEN 'return' ELSE 'escalate' END AS route FROM conversations WHERE turn = 0""",
+    "ticket_escalations": f"""WITH {TICKETS} SELECT ticket_id, 'intent ' || intent || ' (' || CASE WHEN confidence < 0.6 THEN 'unsure' ELSE 'sure' END || '); ' || matches || ' orders found; ' || CASE WHEN route = 'order_status' THEN 'draft broke 1 rules' ELSE 'no draft was sent' END AS summary FROM oc WHERE outcome = 'escalate'""",
+    "order_deadlines": """SELECT '00' || o_orderkey AS order_number, '0' || o_orderkey AS tracking_number, o_orderkey % 3 <> 0 AND date_diff('day', CAST(o_orderdate AS DATE), DATE '1996-06-30') > 7 AS late,
+  o_orderkey % 5 <> 0 AND CAST(o_orderdate AS DATE) + 30 < DATE '1996-06-30' AS closed FROM orders""",
+    "error_labels": """SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'stop' WHEN 1 THEN 'slow_down' ELSE 'retry' END AS kind, CAST(CASE WHEN event_id % 2 = 0 THEN event_id % 60 + 1 ELSE 2 END AS DOUBLE) AS wait,
+  CASE event_id % 3 WHEN 0 THEN '429 limit PerDay' WHEN 1 THEN '429 &lt;slow&gt; &amp; &quot;wait&quot;' ELSE 'boom' END AS html FROM events WHERE event_type = 'error'""",
 }

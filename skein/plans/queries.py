@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.functions import text as T
+from skein.functions.clients import called
 from skein.functions.text import order_number
 from skein.operators import chunking as C
 from skein.operators import evaluation as E
@@ -16,7 +16,11 @@ from skein.operators import invoices as I
 from skein.operators import leads as L
 from skein.operators import retrieval as R
 from skein.operators import tickets as K
-from skein.sources.files import seeded_sample
+from skein.operators.ask import ask
+from skein.sources.collection import Collection
+from skein.sources.files import copy_manifest, json_array, orders_csv, seeded_sample
+from skein.sources.shared import folder, stored
+from skein.sources.sinks import append_new, latest, write_json_array
 from skein.streaming import poll
 
 #: Stand-in scores differ from the models' ones, so the two thresholds are set for them here.
@@ -45,39 +49,47 @@ def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.bm25_stats(_chunks(spark, sf_dir)).withColumn("idf", F.round("idf", 6))
 
 
+#: The stated query set of searches: ids divisible by this, against all rows.
+EVERY = 20
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    points = e.where("vec_id >= 5").select(F.col("vec_id").alias("chunk_id"), "embedding")
-    return R.vector_topk(points, e.where("vec_id < 5").select(F.col("vec_id").alias("qid"), "embedding"), 20)
+    asked = e.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("qid"), "embedding")
+    return R.vector_topk(e.select(F.col("vec_id").alias("chunk_id"), "embedding"), asked, 20)
 
 
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vectors(spark, sf_dir).withColumn("score", F.round("score", 4))
 
 
-def _five(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    q = _questions(spark, sf_dir).where("qid < 5")
-    return q, R.bm25_topk(_chunks(spark, sf_dir), q, 20)
+def _lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.bm25_topk(_chunks(spark, sf_dir), _questions(spark, sf_dir).where(F.col("qid") % EVERY == 0), 20)
 
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = R.rrf_fusion(_vectors(spark, sf_dir), _five(spark, sf_dir)[1])
+    out = R.rrf_fusion(_vectors(spark, sf_dir), _lexical(spark, sf_dir))
     return out.select("qid", "rank", "chunk_id", F.round("fused", 6).alias("fused"), "vector_rank", "lexical_rank")
 
 
 def hybrid_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, lexical = _five(spark, sf_dir)
-    out = R.hybrid_candidates(q, _vectors(spark, sf_dir), lexical, 20, HYBRID_GATE)
+    vector, lexical = stored(_vectors(spark, sf_dir), "vector"), stored(_lexical(spark, sf_dir), "lexical")
+    asked = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("qid")).union(_questions(spark, sf_dir).select("qid")).where(F.col("qid") % EVERY == 0).distinct()
+    out = R.hybrid_candidates(asked, vector, lexical, 20, HYBRID_GATE)
     return out.select("qid", "rank", "chunk_id", F.round("similarity", 4).alias("similarity"), "used_hybrid", F.round("bm25_top", 4).alias("bm25_top"))
 
 
+def _cited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", F.concat("source", F.lit(".pdf")).alias("source_file"), (F.col("doc_id") % 3 + 1).cast("int").alias("page_number"))
+
+
 def _reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 runs once; only its candidates' texts are read, joined and compared."""
     q = _questions(spark, sf_dir)
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", F.concat("source", F.lit(".pdf")).alias("source_file"), (F.col("doc_id") % 3 + 1).cast("int").alias("page_number"))
-    top = R.bm25_topk(_chunks(spark, sf_dir), q, 20)
-    side = F.broadcast(top) if R.small(top, 100_000) else top
-    cand = docs.join(side, "chunk_id").join(q.select("qid", F.col("text").alias("question")), "qid")
-    return R.rerank(R.check_integrity(cand, _chunks(spark, sf_dir)), 5)
+    top = stored(R.bm25_topk(_chunks(spark, sf_dir), q, 20), "top")
+    own = stored(R.only_ids(_cited(spark, sf_dir), top), "candidates")
+    cand = own.join(top, "chunk_id").join(q.select("qid", F.col("text").alias("question")), "qid")
+    return R.rerank(R.check_integrity(cand, own.select("chunk_id", "text")), 5)
 
 
 def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,23 +138,20 @@ def chunk_coverage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(*[F.round(c, 4).alias(c) if t == "double" else F.col(c).cast("long").alias(c) for c, t in s.dtypes])
 
 
+def _holders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.holders(_chunks(spark, sf_dir), _questions(spark, sf_dir).select("qid", F.col("text").alias("needle")))
+
+
 def eval_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Truth: the documents that hold the item verbatim; the item set is bounded and counted before it is broadcast."""
-    q = _questions(spark, sf_dir)
-    docs = _chunks(spark, sf_dir)
-    side = q.select("qid", F.col("text").alias("needle"))
-    truth = docs.join(F.broadcast(side) if R.small(side) else side, F.col("text").contains(F.col("needle"))).groupBy("qid").agg(F.collect_list(F.col("chunk_id").cast("int")).alias("expected_pages"))
-    top = R.bm25_topk(docs, q, 5).groupBy("qid").agg(F.collect_list(F.struct(F.lit("corpus").alias("source_file"), F.col("chunk_id").cast("int").alias("page_number"))).alias("chunks"))
-    hit = truth.join(top, "qid", "left").select(E.is_hit(F.coalesce("chunks", F.array().cast("array<struct<source_file:string,page_number:int>>")), F.lit("corpus"), F.col("expected_pages")).alias("hit"), F.lit("FAITHFUL").alias("faithfulness"))
+    """Truth: the documents that hold the item verbatim."""
+    top = R.bm25_topk(_chunks(spark, sf_dir), _questions(spark, sf_dir), 5)
+    hit = E.hit_pairs(_holders(spark, sf_dir), top).withColumn("faithfulness", F.lit("FAITHFUL"))
     none = spark.range(0).select(F.lit(True).alias("correctly_refused"))
     return E.eval_summary(hit, none).select("total", "hits", F.round("hit_rate", 4).alias("hit_rate"), "refusal_total", "refusal_accuracy")
 
 
 def no_answer_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = _questions(spark, sf_dir)
-    side = F.broadcast(q.select("qid", F.col("text").alias("needle"))) if R.small(q) else q.select("qid", F.col("text").alias("needle"))
-    held = _chunks(spark, sf_dir).join(side, F.col("text").contains(F.col("needle"))).select("qid").distinct()
-    return q.join(held, "qid", "left_anti").select("qid")
+    return _questions(spark, sf_dir).select("qid").join(_holders(spark, sf_dir).select("qid").distinct(), "qid", "left_anti")
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,9 +182,10 @@ def rejudge_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def backfill_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", F.col("source").alias("source_file"), (F.floor(F.col("doc_id") / 20) % 10).cast("int").alias("page_number"))
-    top = _reranked(spark, sf_dir).where("rank <= 3").select("qid", "rank", "chunk_id", "question", "rerank_score")
-    stored = top.join(docs.select("chunk_id", "source_file", "page_number"), "chunk_id").select("qid", "question", F.col("rank").alias("place"), "source_file", "page_number", "rerank_score")
-    out = E.backfill(stored, docs, R.lexical_relevance)
+    top = stored(_reranked(spark, sf_dir).where("rank <= 3").select("qid", "rank", "chunk_id", "question", "rerank_score"), "top3")
+    sources = R.only_ids(docs.select("chunk_id", "source_file", "page_number"), top).join(top, "chunk_id")
+    sources = stored(sources.select("qid", "question", F.col("rank").alias("place"), "source_file", "page_number", "rerank_score"), "sources")
+    out = E.backfill(sources, docs, R.lexical_relevance)
     return out.select("qid", "place", "source_file", "page_number", F.md5("text").alias("text_md5"), "resolved")
 
 
@@ -275,7 +285,7 @@ def dead_letter_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tickets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Tickets from the opening turns of conversations, orders from the first orders; keys decide labels and order numbers."""
+    """Tickets from the opening turns of conversations, all orders; keys decide labels and order numbers."""
     c = F.col("conv_id")
     text = F.when(c % 3 == 0, F.concat(F.lit("Where is ORD-"), (10000 + c % 40).cast("string"), F.lit("?"))).otherwise(F.col("text"))
     t = table(spark, sf_dir, "conversations").where("turn = 0").select(
@@ -286,9 +296,9 @@ def _tickets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         order_number(text).alias("order_number"),
     )
     k = F.col("o_orderkey")
-    o = table(spark, sf_dir, "orders").where("o_orderkey < 25").select(
+    o = table(spark, sf_dir, "orders").select(
         F.concat(F.lit("ORD-"), (10000 + k).cast("string")).alias("order_number"),
-        F.concat(F.lit("user"), (k % 20).cast("string"), F.lit("@example.com")).alias("email"),
+        F.concat(F.lit("user"), F.floor(k / 3).cast("string"), F.lit("@example.com")).alias("email"),
         F.when(k % 7 == 0, F.lit("refund voucher")).otherwise(F.lit("lamp")).alias("item"),
         F.lit("In Transit").alias("status"),
         F.lit("UPS").alias("carrier"),
@@ -332,13 +342,206 @@ def per_document_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_poll_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events file as a polled source: the first event of each user, by a stream that ends when it has seen all."""
-    root = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="poll-")).rstrip("/") + f"/poll-{uuid.uuid4().hex}"
+    root = folder(spark, "poll")
     schema = table(spark, sf_dir, "events").schema
     stream = poll.file_drop(spark, f"{sf_dir}/events*.parquet", schema).select("user_id", "ts", "event_id", "event_type")
     poll.start(stream, poll.dedupe_into(f"{root}/sink", "user_id", ["ts", "event_id"]), f"{root}/state").awaitTermination()
     return spark.read.parquet(f"{root}/sink").select("user_id", "event_id", "event_type")
 
 
+def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts a day and kind of an event-time stream; the last count that each day's window had is the result."""
+    root = folder(spark, "daily")
+    stream = poll.daily_counts(poll.file_drop(spark, f"{sf_dir}/events*.parquet", table(spark, sf_dir, "events").schema).withColumn("ts", F.col("ts").cast("timestamp")))
+
+    def handle(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/sink/part={number}")
+
+    stream.writeStream.outputMode("update").foreachBatch(handle).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(f"{root}/sink").groupBy("day", "event_type").agg(F.max_by("failures", "batch").alias("failures"))
+    return last.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "failures")
+
+
+def ask_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item as a question, from embedding to citations; stand-ins embed, generate and classify."""
+    e = table(spark, sf_dir, "embeddings")
+    cited = _cited(spark, sf_dir)
+    points = e.join(cited.select(F.col("chunk_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    n = F.size("retrieved_chunks").cast("string")
+    out = ask(
+        _questions(spark, sf_dir).select("qid", F.col("text").alias("question")),
+        cited,
+        points,
+        embed=lambda q: q.join(e.select(F.col("vec_id").alias("qid"), "embedding"), "qid"),
+        generate=lambda df: df.withColumn("answer", F.concat(n, F.lit(" passages, "), F.length("prompt").cast("string"), F.lit(" characters"))),
+        classify=lambda df: df.withColumn("reply", F.when(F.col("qid") % 4 == 0, F.lit("refusal")).otherwise(F.lit("ANSWER"))),
+        store=stored,
+        use_hybrid=True,
+        gate=HYBRID_GATE,
+        refuse_below=REFUSE_BELOW,
+    )
+    ids = F.array_join(F.transform("retrieved_chunks", lambda c: c["chunk_id"].cast("string")), ",")
+    return out.select("qid", ids.alias("chunks"), F.size("citations").alias("n_citations"), "used_hybrid", F.round("bm25_top", 4).alias("bm25_top"), "top_score", "refusal_type", "refused", "generation_skipped", T.outcome_label(F.col("refusal_type")).alias("label"), "answer")
+
+
+def prompt_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prompt a source file, of its first passages."""
+    d = _cited(spark, sf_dir)
+    parts = d.groupBy("source_file", "page_number").agg(F.min_by(F.struct("chunk_id", "source_file", "page_number", "text"), "chunk_id").alias("p")).groupBy("source_file").agg(F.array_sort(F.collect_list(F.struct(F.col("p.page_number").alias("page_number"), F.col("p.source_file").alias("source_file"), F.col("p.text").alias("text")))).alias("parts"))
+    return parts.select("source_file", F.md5(R.prompt(F.col("parts"), F.lit("Why?"))).alias("prompt_md5"))
+
+
+def embed_with_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents through a client that refuses some for good: a failed row never ends the run."""
+
+    def embed(text: str) -> list[float]:
+        if len(text) % 5 == 0:
+            raise ValueError("unreadable")
+        return [float(len(text)), 1.0]
+
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text")
+    out = called(d, "text", embed, "embedding array<double>", lanes=8, tries=2, wait=0.0)
+    return out.select("doc_id", "status", F.get("embedding", F.lit(0)).cast("long").alias("first"), F.substring_index("error", ":", 1).alias("error"))
+
+
+def collection_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors stored in two batches, of which the second replaces ids divisible by ten and adds the odd ones."""
+    c = Collection(spark, folder(spark, "collection"))
+    e, k = table(spark, sf_dir, "embeddings"), F.col("vec_id")
+    rows = lambda label: e.select(k.alias("chunk_id"), "embedding", F.lit(label).alias("text"), F.lit("f").alias("source_file"), F.col("label").cast("int").alias("page_number"))
+    before = c.count()
+    c.upsert(rows("old").where("chunk_id % 2 = 0"), 1)
+    c.upsert(rows("new").where("chunk_id % 10 = 0 OR chunk_id % 2 = 1"), 2)
+    found = c.points().groupBy("text").agg(F.count("*").alias("n"), F.sum("chunk_id").alias("ids"))
+    return found.withColumn("before", F.lit(before).cast("long")).withColumn("stored", F.lit(c.count()).cast("long"))
+
+
+def limited_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of a limited run: ids are given first, so the limit moves none."""
+    return E.limited(_chunks(spark, sf_dir), 50).select("chunk_id")
+
+
+def results_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels stored as a JSON array in the order of ids, read back and joined to documents by id."""
+    path = f"{folder(spark, 'results')}.json"
+    write_json_array(E.ordered(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality", "toxic")), path)
+    results = json_array(spark, path, "id long, quality int, toxic int")
+    return E.with_result(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang"), results, "quality")
+
+
+def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last event of each user."""
+    e = table(spark, sf_dir, "events").withColumn("at", F.struct("ts", "event_id"))
+    return latest(e, "user_id", "at").select("user_id", "event_id")
+
+
+def append_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each user appended in two runs, of which the second finds the first's users there."""
+    path = folder(spark, "users")
+    u = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"))
+    append_new(u.where("id % 2 = 0"), u.limit(0), path)
+    append_new(u, spark.read.schema("id long").parquet(path), path)
+    return spark.read.schema("id long").parquet(path)
+
+
+def copied_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page addresses flattened to file names; of equal names the last stays."""
+    return copy_manifest(table(spark, sf_dir, "pages").select(F.col("url").alias("path")))
+
+
+def scanned_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as a scan of files in which some pages fail: files that are committed, and the run's summary."""
+    k = F.col("page_id")
+    scan = table(spark, sf_dir, "pages").select(F.concat(F.lit("f"), (k % 40).cast("string")).alias("source_file"), k.cast("int").alias("page_number"), F.when(k % 37 == 0, F.lit("broken")).alias("error"))
+    m = C.manifest(scan)
+    left = C.committed(scan, scan).agg(F.count("*").alias("pages"))
+    return m.crossJoin(left).select("documents_found", "documents_succeeded", "documents_failed", "pages", F.array_join(F.transform("failures", lambda x: x["source_file"]), ",").alias("failed"))
+
+
+def numbered_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that begin a numbered clause, after no-break spaces are folded."""
+    d = with_headings(table(spark, sf_dir, "documents"))
+    line = d.select("doc_id", F.explode(T.lines(T.fold_nbsp(F.replace("text", F.lit(". Clause"), F.lit(".\u00a0Clause"))))).alias("line"))
+    return line.where(T.is_numbered_clause(F.col("line"))).groupBy("doc_id").agg(F.count("*").alias("clauses"))
+
+
+def example_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    chunks = d.select(F.col("doc_id").alias("chunk_id"), F.concat("source", F.lit(".pdf")).alias("source_file"), F.concat(F.when(F.col("doc_id") % 2 == 0, F.lit("1. ")).otherwise(F.lit("")), F.coalesce("text", F.lit(""))).alias("chunk"))
+    return C.pick_examples(chunks, ["THE", "und", "qqqq"], 4, "1").select("place", "chunk_id", "keyword")
+
+
+def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.search(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("chunk")), "The ").select("doc_id")
+
+
+def source_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose source isn't among the sources of the labelled ones."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("source_file"))
+    known = d.where("doc_id % 100 = 7")
+    return E.check_sources(d, known).select("doc_id")
+
+
+def invoice_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invoices appended to books and review queue, and read back."""
+    root = folder(spark, "invoices")
+    I.deliver(stored(_checked(spark, sf_dir), "checked"), root)
+    b = spark.read.parquet(f"{root}/books").select(F.lit("books").alias("sink"), "vendor", F.lit("").alias("review_reason"), F.lit(False).alias("has_raw"))
+    q = spark.read.parquet(f"{root}/review_queue").select(F.lit("review_queue").alias("sink"), "vendor", F.regexp_replace("review_reason", " [0-9.]+", "").alias("review_reason"), F.col("raw_output").isNotNull().alias("has_raw"))
+    return b.unionByName(q).groupBy("sink", "vendor", "review_reason", "has_raw").agg(F.count("*").alias("n"))
+
+
+def lead_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routed leads appended to one outbox a channel; those without an email to the dead letters."""
+    root = folder(spark, "leads")
+    L.deliver(L.routed(L.scored(L.cleaned(_leads(spark, sf_dir)))), root)
+    sent = spark.read.parquet(f"{root}/outbox").groupBy("destination").agg(F.count("*").alias("n"))
+    return sent.unionByName(spark.read.parquet(f"{root}/dead_letters").agg(F.lit("dead_letters").alias("destination"), F.count("*").alias("n")))
+
+
+def lead_company(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messy leads get a company from the message; clean ones never reach the extraction."""
+    k = F.col("lead_id")
+    leads = _leads(spark, sf_dir).withColumn("message", F.when(k % 2 == 0, F.concat(F.lit("hello from Acme "), F.concat(F.lit("N"), (k % 9).cast("string")), F.lit(" again"))).otherwise(F.lit("hello from nowhere")))
+    return L.cleaned(leads, L.company_in).select("lead_id", "needs_cleanup", "cleaned_company")
+
+
+def ticket_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Opening turns classified by the stand-in, and routed."""
+    c = F.col("conv_id")
+    text = F.when(c % 3 == 0, F.concat(F.lit("Where is my order ORD-"), c.cast("string"), F.lit(", I need it TODAY"))).when(c % 3 == 1, F.lit("I want to return it, terrible")).otherwise(F.lit("hm"))
+    t = table(spark, sf_dir, "conversations").where("turn = 0").select(c.alias("ticket_id"), text.alias("text"))
+    out = K.classified(t, K.by_keywords)
+    return out.select("ticket_id", "intent", "urgency", "sentiment", "order_number", K.route(F.col("intent"), F.col("confidence")).alias("route"))
+
+
+def ticket_escalations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.escalations(_outcomes(spark, sf_dir))
+
+
+def order_deadlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders through a CSV file and back: late ones, and those whose return window is closed."""
+    path, k = folder(spark, "orders"), F.col("o_orderkey")
+    day = F.to_date("o_orderdate")
+    o = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("00"), k.cast("string")).alias("order_number"), F.lit("a@example.com").alias("email"), F.when(k % 3 == 0, F.lit("Delivered")).otherwise(F.lit("In Transit")).alias("status"), F.lit("UPS").alias("carrier"),
+        F.concat(F.lit("0"), k.cast("string")).alias("tracking_number"), day.alias("expected_delivery"), F.lit("lamp").alias("item"), F.when(k % 5 == 0, F.lit(None).cast("date")).otherwise(F.date_add(day, 30)).alias("return_eligible_until"),
+    )
+    o.write.option("header", True).csv(path)
+    as_of = F.lit("1996-06-30").cast("date")
+    r = orders_csv(spark, path)
+    return r.select("order_number", "tracking_number", K.late(F.col("status"), F.col("expected_delivery"), as_of).alias("late"), K.window_closed(F.col("return_eligible_until"), as_of).alias("closed"))
+
+
+def error_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of a service's errors: class, wait, and the text as HTML."""
+    k = F.col("event_id")
+    message = F.element_at(F.array(*map(F.lit, ("429 limit PerDay", "429 <slow> & \"wait\"", "boom"))), (k % 3 + 1).cast("int"))
+    hint = F.when(k % 2 == 0, F.concat((k % 60).cast("string"), F.lit("s"))).otherwise(F.lit("soon"))
+    e = table(spark, sf_dir, "events").where("event_type = 'error'")
+    return e.select("event_id", T.error_class(message).alias("kind"), T.retry_delay(hint, 2.0).alias("wait"), T.html_escape(message).alias("html"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -346,5 +549,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         chunk_structured, chunk_coverage_summary, eval_hit_rate, no_answer_split, verdict_parse, judge_stability, rejudge_diff, backfill_resolve,
         eval_md_parse, invoice_validate, invoice_route, lead_normalize, lead_dedupe, lead_score_route, lead_dead_letters, dead_letter_digest,
         ticket_route, ticket_deflection, guardrail_scan, resume_anti, seeded_sample_ids, per_document_counts, stream_poll_dedupe,
+        stream_daily_counts, ask_questions, prompt_assembly, embed_with_retries, collection_upsert, limited_ids, results_joined, upsert_latest, append_once,
+        copied_files, scanned_manifest, numbered_clauses, example_pick, phrase_search, source_membership, invoice_sinks, lead_outbox, lead_company,
+        ticket_classify, ticket_escalations, order_deadlines, error_labels,
     )
 }

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from skein.operators.leads import normalised
 from skein.sources.files import or_empty
 
 
@@ -18,6 +20,14 @@ def file_drop(spark: SparkSession, path: str, schema: T.StructType, per_trigger:
     return (reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader).load(path)
 
 
+def drops(spark: SparkSession, sources: dict[str, tuple[str, T.StructType, dict[str, str]]], per_trigger: int | None = None, kind: str = "parquet") -> DataFrame:
+    """One stream of several sources in one shape, such as a pushed form and two polled tables that land in folders of their own.
+
+    sources: origin to (path, schema, column for each field)."""
+    parts = [normalised(file_drop(spark, path, schema, per_trigger, kind), mapping, origin) for origin, (path, schema, mapping) in sources.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def start(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Run ``handle`` on each micro-batch: once over what is there, or every so often."""
     w = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
