@@ -190,3 +190,13 @@ def again(blocks: DataFrame, answers: DataFrame, fn: Callable[[Block, pd.DataFra
         return pd.concat(out) if out else pd.DataFrame({c.split()[0]: [] for c in schema.split(",")})
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, schema)
+
+
+def again_arrow(blocks: DataFrame, answers: DataFrame, fn: Callable[[Block, pd.DataFrame], pa.Table], schema) -> DataFrame:
+    """again() for results of any column type; ``fn`` gives Arrow tables."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        told = right.to_pandas()
+        return pa.concat_tables([fn(Block(row), told) for row in left.to_pandas().itertuples()])  # one block
+
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)

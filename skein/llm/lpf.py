@@ -6,8 +6,9 @@ smaller position of a suffix in a tie is its neighbour, so the factor that start
 earlier copy of ``depth`` bytes exactly if i isn't the first of its tie.
 
 One suffix array over a corpus would be one task's work. So suffixes are sorted block by
-block, and only where a repeat is possible: of each window the least gram (winnowing) must
-be found twice in the corpus. What several blocks share is found in buckets. Eight windows
+block, and only where a repeat is possible: of each window of half the width the least gram (winnowing)
+must be found twice in the corpus. Only whether a factor reaches the width, or half of it, is asked, so factor
+lengths beyond aren't computed; ``lpf_array`` gives them and is what tests compare with. What several blocks share is found in buckets. Eight windows
 whose least gram lies at neighbouring offsets make a *cell*: their common core goes as a
 hash, what they differ in as 7 + 7 plain bytes, so one entry decides eight windows exactly.
 A block sends equal cells once; a passage that a third of all documents hold costs a block
@@ -20,37 +21,43 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import blocks as B
 from .text import BYTE64, U64, _P, _PINV, covered, isin_sorted, mix64, powers, runs, sliding
 
 
-def suffix_ranks(data: np.ndarray, depth: int) -> np.ndarray:
-    """Rank of each suffix of ``data`` by its first ``depth`` bytes; a shorter suffix sorts first."""
+def suffix_ranks(data: np.ndarray, *depths: int) -> list[np.ndarray]:
+    """For each of the rising ``depths``: rank of each suffix of ``data`` by so many of its first bytes; a shorter suffix sorts first."""
     n = len(data)
     if not n:
-        return np.zeros(0, np.int64)
-    h = min(7, depth)
+        return [np.zeros(0, np.int64) for _ in depths]
+    h = min(7, depths[0])
     x = np.concatenate([data.astype(np.int64) + 1, np.zeros(h, np.int64)])
     key = np.zeros(n, np.int64)
     for k in range(h):
         key = key * 257 + x[k : k + n]
     rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
-    while h < depth:
-        step = min(h, depth - h)
-        nxt = np.zeros(n, np.int64)
-        nxt[: max(0, n - step)] = rank[step:] + 1
-        rank = np.unique(rank * (n + 1) + nxt, return_inverse=True)[1].astype(np.int64)
-        h += step
-    return rank
+    out = []
+    for depth in depths:
+        while h < depth:
+            step = min(h, depth - h)
+            nxt = np.zeros(n, np.int64)
+            nxt[: max(0, n - step)] = rank[step:] + 1
+            rank = np.unique(rank * (n + 1) + nxt, return_inverse=True)[1].astype(np.int64)
+            h += step
+        out.append(rank)
+    return out
 
 
 def lpf_array(data: np.ndarray) -> np.ndarray:
     """Longest previous factor of every position, by previous and next smaller values in suffix order."""
     n = len(data)
-    order = np.argsort(suffix_ranks(data, max(1, n)), kind="stable")
+    order = np.argsort(suffix_ranks(data, max(1, n))[0], kind="stable")
 
     def lcp(i: int, j: int) -> int:
         k = 0
@@ -83,13 +90,21 @@ def earlier_copies(rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def previous_factors_of(data: np.ndarray, depth: int) -> np.ndarray:
     """Whether each position starts an earlier copy of ``depth`` bytes that fits in ``data``."""
-    later, _ = earlier_copies(suffix_ranks(data, depth))
+    later, _ = earlier_copies(suffix_ranks(data, depth)[0])
     later[max(0, len(data) - depth + 1) :] = False
     return later
 
 
+def _sections(x: np.ndarray) -> np.ndarray:
+    """Starts of the maximal sections of equal values."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+
+
 class _Batch:
-    """One batch of documents: prefix hashes, window minima and winnowed grams."""
+    """One batch of documents: prefix hashes and winnowed grams.
+
+    Grams are a quarter of the width long. The least gram of each half-width window is an anchor. A window of the
+    whole width consists of half-width windows, so where it's repeated all their least grams are."""
 
     def __init__(self, buf: np.ndarray, offs: np.ndarray, width: int) -> None:
         self.buf, self.offs, self.width = buf, offs, width
@@ -98,82 +113,99 @@ class _Batch:
         self.c[0] = 0
         np.multiply(BYTE64[buf], powers(_P, n), out=self.c[1:])
         np.cumsum(self.c, out=self.c)
-        self.ok = np.ones(max(0, n - width + 1), dtype=bool)  # windows inside one document
+        g = width // 4
+        self.half = 2 * g
+        self.ok = np.ones(max(0, n - self.half + 1), dtype=bool)  # half-width windows inside one document
         for end in offs[1:]:
-            self.ok[max(0, end - width) : end] = False
+            self.ok[max(0, end - self.half) : end] = False
         self.low, self.at, self.gram = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
         if self.ok.any():
-            g = max(1, width // 2)
-            span = width - g + 1
             h = self.hash(np.arange(n - g + 1), g) | U64(1)
-            self.low = sliding(h, span, np.minimum)
-            edge = np.zeros(span - 1, dtype=np.uint64)
-            reach = sliding(np.concatenate([edge, np.where(self.ok, self.low, U64(0)), edge]), span, np.maximum)
+            self.low = sliding(h, g + 1, np.minimum)
+            edge = np.zeros(g, dtype=np.uint64)
+            reach = sliding(np.concatenate([edge, np.where(self.ok, self.low, U64(0)), edge]), g + 1, np.maximum)
             self.at = np.flatnonzero(reach == h)
             self.gram = h[self.at]
 
     def hash(self, at: np.ndarray, width: int) -> np.ndarray:
         return mix64((self.c[at + width] - self.c[at]) * powers(_PINV, len(self.buf))[at])
 
-    def cells(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of windows whose least gram is in ``grams`` (sorted): start, bit, cell; and the cells' core starts."""
-        if not len(self.low) or not len(grams):
+    def told(self, grams: np.ndarray) -> np.ndarray:
+        """Half-width windows whose least gram is in ``grams`` (sorted)."""
+        at = _sections(self.low)
+        return np.repeat(isin_sorted(self.low[at], grams), np.diff(np.concatenate([at, [len(self.low)]]))) & self.ok
+
+    def cells(self, grams: np.ndarray, told: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of windows of ``width`` of which all half-width windows are told: start, bit, cell; and the cells' core starts."""
+        span = width - self.half + 1
+        x, y = runs(told)
+        long = y - x >= span
+        x, y = x[long], y[long] - span + 1
+        if not len(x):
             z = np.zeros(0, np.int64)
             return z, z, z, z
+        i = np.arange(int((y - x).sum())) - np.repeat(np.cumsum(y - x) - (y - x), y - x) + np.repeat(x, y - x)
+        least = np.concatenate([sliding(self.low[a : b + span - 1], span, np.minimum) for a, b in zip(x, y, strict=True)])
         mine = isin_sorted(self.gram, grams)
         at, val = self.at[mine], np.searchsorted(grams, self.gram[mine])
         n = len(self.buf) + 1
         key = np.sort(val * n + at)
-        few = isin_sorted(self.low, np.unique(self.gram[mine]))
-        i = np.flatnonzero(self.ok & few)
-        p = key[np.searchsorted(key, np.searchsorted(grams, self.low[i]) * n + i)] % n  # the leftmost least gram
+        head = _sections(least)
+        rank = np.repeat(np.searchsorted(grams, least[head]), np.diff(np.concatenate([head, [len(least)]])))
+        # the leftmost least gram: where the last one still is in the window and has no other before it, it stays
+        head = np.flatnonzero(np.concatenate([[True], (rank[1:] != rank[:-1]) | (i[1:] != i[:-1] + 1)]))
+        p = np.repeat(key[np.searchsorted(key, rank[head] * n + i[head])] % n, np.diff(np.concatenate([head, [len(i)]])))
+        late = np.flatnonzero(p < i)  # it left the window, an equal one follows
+        p[late] = key[np.searchsorted(key, rank[late] * n + i[late])] % n
         t = p - i
         core, inv = np.unique(p - (t & ~7), return_inverse=True)
         return i, 7 - (t & 7), inv, core
 
 
 class _Cells:
-    """The cells of a block, equal ones once, in the order in which they are sent."""
+    """The cells of a block, equal ones once, in the order in which they are sent; of windows of the width, and of half of it too."""
 
-    def __init__(self, block: B.Block, answer: pd.DataFrame, width: int, buckets: int) -> None:
-        self.parts = [(a, _Batch(buf, offs, width)) for a, _, buf, offs in block.batches()]
-        u, c = np.unique(np.concatenate([b.gram for _, b in self.parts] or [np.zeros(0, np.uint64)]), return_counts=True)
-        grams = u[B.Answer(answer, buckets, np.uint32).holds(u) | (c > 1)]
+    def __init__(self, block: B.Block, answer: pd.DataFrame, width: int, buckets: int, both: bool) -> None:
+        parts = [(a, _Batch(buf, offs, width)) for a, _, buf, offs in block.batches()]
+        u, c = np.unique(np.concatenate([b.gram for _, b in parts] or [np.zeros(0, np.uint64)]), return_counts=True)
+        grams = u[B.Answer(answer, buckets, np.uint64).holds(u) | (c > 1)]
         core, ctx, doc = [], [], []
-        self.starts, self.bits, self.cell = [], [], []
+        self.parts = []  # batch, and of each width: start, bit and cell of its windows
         base = 0
-        for a, b in self.parts:
-            i, d, inv, x = b.cells(grams)
-            size = len(b.buf)
-            side = np.concatenate([x[:, None] - 7 + np.arange(7), x[:, None] + width - 7 + np.arange(7)], axis=1) if len(x) else np.zeros((0, 14), np.int64)
-            rows = np.zeros((len(x), 15), np.uint8)
-            rows[:, :14] = b.buf[side.clip(0, max(0, size - 1))] if len(x) else 0
-            np.bitwise_or.at(rows[:, 14], inv, np.left_shift(np.uint8(1), d.astype(np.uint8)))
-            core.append(b.hash(x, width - 7) if len(x) else np.zeros(0, np.uint64))
-            ctx.append(rows)
-            doc.append(a + np.searchsorted(b.offs, x, side="right") - 1)
-            self.starts.append(i)
-            self.bits.append(d)
-            self.cell.append(inv + base)
-            base += len(x)
-        self.core = np.concatenate(core or [np.zeros(0, np.uint64)])
-        self.ctx = np.concatenate(ctx or [np.zeros((0, 15), np.uint8)])
+        for a, b in parts:
+            told = b.told(grams)
+            own = []
+            for w in (width, b.half)[: 1 + both]:
+                i, d, inv, x = b.cells(grams, told, w)
+                rows = np.zeros((len(x), 15), np.uint8)
+                if len(x):
+                    side = np.concatenate([x[:, None] - 7 + np.arange(7), x[:, None] + w - 7 + np.arange(7)], axis=1)
+                    rows[:, :14] = b.buf[side.clip(0, max(0, len(b.buf) - 1))]
+                    core.append(mix64(b.hash(x, w - 7) + U64(w)))
+                    doc.append(a + np.searchsorted(b.offs, x, side="right") - 1)
+                np.bitwise_or.at(rows[:, 14], inv, np.left_shift(np.uint8(1), d.astype(np.uint8)))
+                ctx.append(rows)
+                own.append((i, d, inv + base))
+                base += len(x)
+            self.parts.append((b, own))
+        core = np.concatenate(core or [np.zeros(0, np.uint64)])
+        ctx = np.concatenate(ctx or [np.zeros((0, 15), np.uint8)])
         doc = np.concatenate(doc or [np.zeros(0, np.int64)])
-        words = np.zeros((len(self.core), 16), np.uint8)
-        words[:, :15] = self.ctx
+        words = np.zeros((len(core), 16), np.uint8)
+        words[:, :15] = ctx
         w = words.view(np.uint64).reshape(-1, 2)
-        mark = mix64(self.core + mix64(w[:, 0] + mix64(w[:, 1])))
-        _, first, same = np.unique(mark, return_index=True, return_inverse=True)
-        order = np.argsort(self.core[first], kind="stable")
-        self.first = first[order]
-        self.sent = np.empty(len(order), np.int64)
-        self.sent[order] = np.arange(len(order))
-        self.sent = self.sent[same] if len(same) else same
-        self.doc = block.ids[doc[self.first]] if len(self.first) else doc
+        _, first, same = np.unique(mix64(core + mix64(w[:, 0] + mix64(w[:, 1]))), return_index=True, return_inverse=True)
+        order = np.argsort(core[first], kind="stable")
+        first = first[order]
+        sent = np.empty(len(order), np.int64)
+        sent[order] = np.arange(len(order))
+        self.sent = sent[same] if len(same) else same
+        self.core, self.ctx = core[first], ctx[first]
+        self.doc = block.ids[doc[first]] if len(first) else doc
         self.width, self.buckets = width, buckets
 
     def rows(self, block: int) -> pd.DataFrame:
-        core, ctx = self.core[self.first], self.ctx[self.first]
+        core, ctx = self.core, self.ctx
         z = zstandard.ZstdCompressor(level=3)
         edges = np.searchsorted(core, np.array([(k << 64) // self.buckets for k in range(self.buckets)], dtype=np.uint64)).tolist() + [len(core)]
         ks = [k for k in range(self.buckets) if edges[k + 1] > edges[k]]
@@ -191,7 +223,7 @@ class _Cells:
     def flags(self, pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         """(another block holds it, an earlier document in another block holds it), a bit a window for each cell."""
         pdf = pdf.sort_values("bucket")
-        n = len(self.first)
+        n = len(self.core)
         out = [np.frombuffer(b"".join(pdf[c]), np.uint8) if len(pdf) else np.zeros(n, np.uint8) for c in ("found", "before")]
         assert len(out[0]) == n, "a block's answer doesn't fit its cells"
         return out[0][self.sent], out[1][self.sent]
@@ -245,79 +277,105 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def _ranks(s: _Cells) -> np.ndarray:
-    """Suffix ranks of a block's candidate windows, over the candidate regions only."""
-    texts, pos, at = [], [], 0
-    for (_, b), i in zip(s.parts, s.starts, strict=True):
-        if not len(i):
-            continue
+def _copies(s: _Cells) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For the windows of each width, in order: has an earlier copy in the block, has any; by suffix ranks of the candidate regions."""
+    texts, pos, at = [], [[] for _ in s.parts[0][1]] if s.parts else [], 0
+    for b, own in s.parts:
         flags = np.zeros(len(b.buf), dtype=bool)
-        flags[i] = True
-        x, y = runs(covered(flags, s.width, len(b.buf)))
+        wide = b.half if len(own) > 1 else s.width
+        flags[own[-1][0]] = True
+        x, y = runs(covered(flags, wide, len(b.buf)))
+        if not len(x):
+            continue
         shift = at - x + np.concatenate([[0], np.cumsum(y - x)[:-1]])
         texts.extend(b.buf[p:q] for p, q in zip(x, y, strict=True))
-        pos.append(i + shift[np.searchsorted(x, i, side="right") - 1])
+        for k, (i, _, _) in enumerate(own):
+            pos[k].append(i + shift[np.searchsorted(x, i, side="right") - 1])
         at += int((y - x).sum())
     if not texts:
-        return np.zeros(0, np.int64)
-    return suffix_ranks(np.concatenate(texts), s.width)[np.concatenate(pos)]
+        return [earlier_copies(np.zeros(0, np.int64)) for _ in pos]
+    depths = (s.parts[0][0].half, s.width) if len(pos) > 1 else (s.width,)
+    ranks = suffix_ranks(np.concatenate(texts), *depths)[::-1]
+    return [earlier_copies(r[np.concatenate(p)]) for r, p in zip(ranks, pos, strict=True)]
 
 
-def suffix_array_dedup(docs: DataFrame, width: int = 400, keep: str = "first", columns: tuple[str, ...] = ()) -> DataFrame:
+OUTPUTS = {"longest_repeat": "long", "kept": "binary", "kept_text": "string", "kept_sha256": "string"}
+
+
+def suffix_array_dedup(docs: DataFrame, width: int = 400, keep: str = "first", columns: tuple[str, ...] = (), outputs: tuple[str, ...] = tuple(OUTPUTS)) -> DataFrame:
     """Remove the bytes that a repeated ``width``-byte string covers.
 
     docs: doc_id, text; ``columns`` are passed through, others ignored. keep "first": a string's first copy, by doc_id
     and position, stays; "none": every copy goes. One row per input row: doc_id, n_bytes,
-    n_removed, n_spans (maximal removed runs), kept (the other bytes), kept_text (the
-    same without broken characters), kept_sha256.
+    n_removed, n_spans (maximal removed runs), and of these the ``outputs`` that are asked for: longest_repeat (bytes of
+    the longest run that strings of half the width cover which also start elsewhere), kept (the other bytes),
+    kept_text (the same without broken characters), kept_sha256. Half the width is 2 * (width // 4).
     Null and empty texts have no bytes; repeated rows are copies; an empty table gives no row; a
     null id stays null and counts as 0 in the order; of equal ids the lower block comes first.
     Lengths are of UTF-8, and a cut may fall inside a character.
     """
     if width < 16 or keep not in ("first", "none"):
         raise ValueError("width is 16 at least; keep is 'first' or 'none'")
-    bl = B.pack(docs, columns)
+    names = [f"__{k}" for k in range(len(columns))]  # no column passed through can clash with a result
+    passed = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(n) for c, n in zip(columns, names, strict=True)))
+    both = "longest_repeat" in outputs
+    bl = B.pack(passed, tuple(names))
     buckets = B.bucket_count(bl)
 
     def first(block: B.Block) -> pd.DataFrame:
         u, c = np.unique(np.concatenate([_Batch(buf, offs, width).gram for _, _, buf, offs in block.batches()] or [np.zeros(0, np.uint64)]), return_counts=True)
-        return B.requests(u[c == 1], u[c > 1], block.block, buckets, np.uint32)
+        return B.requests(u[c == 1], u[c > 1], block.block, buckets, np.uint64)
 
     def second(block: B.Block, pdf: pd.DataFrame) -> pd.DataFrame:
-        return _Cells(block, pdf, width, buckets).rows(block.block)
+        return _Cells(block, pdf, width, buckets, both).rows(block.block)
 
-    def last(block: B.Block, pdf: pd.DataFrame) -> pd.DataFrame:
+    def last(block: B.Block, pdf: pd.DataFrame) -> pa.Table:
         grams = pdf["before"].isna().to_numpy()
-        s = _Cells(block, pdf[grams], width, buckets)
+        s = _Cells(block, pdf[grams], width, buckets, both)
         found, before = s.flags(pdf[~grams])
-        later, shared = earlier_copies(_ranks(s))
-        out, k = [], 0
-        for (_, b), i, d, cell in zip(s.parts, s.starts, s.bits, s.cell, strict=True):
-            here = slice(k, k + len(i))
-            k += len(i)
-            flag = later[here] | (before[cell] >> d & 1 > 0) if keep == "first" else shared[here] | (found[cell] >> d & 1 > 0)
-            flags = np.zeros(len(b.buf), dtype=bool)
-            flags[i[flag]] = True
-            gone = covered(flags, width, len(b.buf))
-            for x, y in zip(b.offs[:-1], b.offs[1:] - 1, strict=True):
-                g = gone[x:y]
-                out.append((int(y - x), int(g.sum()), len(runs(g)[0]), b.buf[x:y][~g].tobytes()))
-        also = {c: pd.Series(block.extra.column(c).to_pandas(types_mapper=pd.ArrowDtype).array) for c in columns} if columns else {}
-        return pd.DataFrame(
-            {
-                **also,
-                "doc_id": pd.array(block.id_list(), dtype="Int64"),
-                "n_bytes": np.array([r[0] for r in out], np.int64),
-                "n_removed": np.array([r[1] for r in out], np.int64),
-                "n_spans": np.array([r[2] for r in out], np.int64),
-                "kept": [r[3] for r in out],
-                "kept_text": [r[3].decode("utf-8", "ignore") for r in out],
-                "kept_sha256": [hashlib.sha256(r[3]).hexdigest() for r in out],
-            }
-        )
-
-    seen = B.repeated(B.ask(bl, first), np.uint32).selectExpr("block", "bucket", "found", "CAST(NULL AS binary) AS before")
+        copies = _copies(s)
+        ids = block.id_list()
+        out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", *outputs)}
+        at = [0, 0]
+        for b, own in s.parts:
+            hit = []
+            for k, (i, d, cell) in enumerate(own):
+                here = slice(at[k], at[k] + len(i))
+                at[k] += len(i)
+                first_stays = keep == "first" and not k
+                flag = copies[k][0][here] | (before[cell] >> d & 1 > 0) if first_stays else copies[k][1][here] | (found[cell] >> d & 1 > 0)
+                flags = np.zeros(len(b.buf), dtype=bool)
+                flags[i[flag]] = True
+                hit.append(covered(flags, b.half if k else width, len(b.buf)))
+            n = np.diff(b.offs) - 1
+            gone = np.concatenate([[0], np.cumsum(hit[0])])
+            x, y = runs(hit[0])
+            spans = np.bincount(np.searchsorted(b.offs, x, side="right") - 1, minlength=len(n))
+            out["n_bytes"].append(n)
+            out["n_removed"].append(gone[b.offs[1:] - 1] - gone[b.offs[:-1]])
+            out["n_spans"].append(spans)
+            if both:
+                longest = np.zeros(len(n), np.int64)
+                x, y = runs(hit[1])
+                np.maximum.at(longest, np.searchsorted(b.offs, x, side="right") - 1, y - x)
+                out["longest_repeat"].append(longest)
+            if len(outputs) > both:
+                raw, whole = b.buf.tobytes(), out["n_removed"][-1] == 0
+                for p, q, w in zip(b.offs[:-1].tolist(), (b.offs[1:] - 1).tolist(), whole.tolist(), strict=True):
+                    kept = raw[p:q] if w else b.buf[p:q][~hit[0][p:q]].tobytes()
+                    for c in outputs:
+                        if c != "longest_repeat":
+                            out[c].append(kept if c == "kept" else kept.decode("utf-8", "ignore") if c == "kept_text" else hashlib.sha256(kept).hexdigest())
+        kinds = {"kept": pa.binary(), "kept_text": pa.string(), "kept_sha256": pa.string()}
+        cols = {c: pa.array(v, kinds[c]) if c in kinds else pa.array(np.concatenate(v or [np.zeros(0, np.int64)]), pa.int64()) for c, v in out.items()}
+        more = {c: block.extra.column(c) for c in names} if names else {}
+        return pa.table({**more, "doc_id": pa.array(ids, pa.int64()), **cols})
+
+    seen = B.repeated(B.ask(bl, first), np.uint64).selectExpr("block", "bucket", "found", "CAST(NULL AS binary) AS before")
     sent = B.again(bl, seen, second, "bucket int, block long, core binary, ctx binary, doc binary")
     told = sent.groupBy("bucket").applyInPandas(_answer, "block long, bucket int, found binary, before binary")
-    passed = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*columns).schema.fields) if columns else ""
-    return B.again(bl, seen.unionByName(told), last, passed + "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string, kept_sha256 string")
+    schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, passed.schema.fields[2:], strict=True)])
+    for c, kind in {"doc_id": "long", "n_bytes": "long", "n_removed": "long", "n_spans": "long", **{c: OUTPUTS[c] for c in outputs}}.items():
+        schema.add(c, kind)
+    done = B.again_arrow(bl, seen.unionByName(told), last, schema)
+    return done.select(*(F.col(n).alias(c) for n, c in zip(names, columns, strict=True)), *done.columns[len(names) :])

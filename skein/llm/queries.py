@@ -60,7 +60,8 @@ def op9_related_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_array_dedup(_documents(spark, sf_dir), width=400, keep="none").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    done = suffix_array_dedup(_documents(spark, sf_dir), width=400, keep="none", outputs=("longest_repeat", "kept_sha256"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "longest_repeat", "kept_sha256")
 
 
 def op10_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,17 +126,19 @@ FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
 """,
     "op7_suffix_array": r"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-win AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 399)) AS i FROM d)),
-rep AS (SELECT k FROM win GROUP BY k HAVING count(*) > 1),
-st AS (SELECT doc_id, i, i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400, -1) AS fresh FROM win SEMI JOIN rep USING (k)),
-sp AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM st) GROUP BY doc_id, g),
+win AS (SELECT doc_id, i, w, md5_number(substr(h, 2 * i + 1, 2 * w)) AS k FROM (SELECT doc_id, h, w, unnest(range(0, len(h) // 2 - w + 1)) AS i FROM d, (VALUES (200), (400)) AS v(w))),
+rep AS (SELECT k, w FROM win GROUP BY k, w HAVING count(*) > 1),
+st AS (SELECT doc_id, i, w, i > coalesce(lag(i) OVER (PARTITION BY doc_id, w ORDER BY i) + w, -1) AS fresh FROM win SEMI JOIN rep USING (k, w)),
+every AS (SELECT doc_id, w, min(i) AS a, max(i) + w AS b FROM (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY doc_id, w ORDER BY i) AS g FROM st) GROUP BY doc_id, w, g),
+long AS (SELECT doc_id, max(b - a) AS longest FROM every WHERE w = 200 GROUP BY doc_id),
+sp AS (SELECT doc_id, a, b FROM every WHERE w = 400),
 gone AS (SELECT doc_id, sum(b - a) AS n, count(*) AS spans FROM sp GROUP BY doc_id),
 cut AS (
   SELECT doc_id, a, substr(h, 2 * before + 1, 2 * (a - before)) AS piece
   FROM (SELECT doc_id, a, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before
         FROM (SELECT doc_id, a, b FROM sp UNION ALL SELECT doc_id, len(h) // 2, NULL FROM d)) JOIN d USING (doc_id)
 ), kept AS (SELECT doc_id, string_agg(piece, '' ORDER BY a) AS t FROM cut GROUP BY doc_id)
-SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(t)) AS kept_sha256
-FROM d JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, CAST(coalesce(longest, 0) AS BIGINT) AS longest_repeat, sha256(unhex(t)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id) LEFT JOIN long USING (doc_id)
 """,
 }

@@ -312,3 +312,19 @@ def test_empty_tables(spark, empty):
         deduplicate(empty), contaminated(empty, items), without_contamination(empty, items), identify(empty), pack_related(empty), toxicity(empty, labels),
     ):
         assert out.count() == 0
+
+
+@pytest.mark.parametrize("width", [16, 61, 400])
+def test_longest_repeat(docs, width):
+    units = [t.encode() for t in texts(docs)]
+    longest = [max(map(len, bytes(g).split(b"\0")), default=0) for g in by_covering(units, width // 4 * 2)]
+    removed = [sum(g) for g in by_covering(units, width)]
+    got = sorted((r.n_bytes, r.n_removed, r.longest_repeat) for r in suffix_array_dedup(docs, width, "none", outputs=("longest_repeat",)).collect())
+    assert got == sorted(zip(map(len, units), removed, longest))
+
+
+def test_suffix_array_passes_any_column(spark):
+    rows = [(i, "abc " * 30, {"k": i}, [i], "x", b"y", 1.5) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>, a array<int>, kept string, kept_text binary, n_bytes double")
+    out = suffix_array_dedup(df, 16, "first", columns=("m", "a", "kept", "kept_text", "n_bytes"), outputs=("longest_repeat",))
+    assert sorted((r[0]["k"], r[1][0], r[2], bytes(r[3]), r[4], r["doc_id"]) for r in out.collect()) == [(i, i, "x", b"y", 1.5, i) for i in range(3)]
