@@ -31,33 +31,30 @@ from . import blocks as B
 from .text import BYTE64, U64, _P, _PINV, covered, isin_sorted, mix64, powers, runs, sliding
 
 
-def suffix_ranks(data: np.ndarray, *depths: int) -> list[np.ndarray]:
-    """For each of the rising ``depths``: rank of each suffix of ``data`` by so many of its first bytes; a shorter suffix sorts first."""
+def suffix_ranks(data: np.ndarray, depth: int) -> np.ndarray:
+    """Rank of each suffix of ``data`` by its first ``depth`` bytes; a shorter suffix sorts first."""
     n = len(data)
     if not n:
-        return [np.zeros(0, np.int64) for _ in depths]
-    h = min(7, depths[0])
+        return np.zeros(0, np.int64)
+    h = min(7, depth)
     x = np.concatenate([data.astype(np.int64) + 1, np.zeros(h, np.int64)])
     key = np.zeros(n, np.int64)
     for k in range(h):
         key = key * 257 + x[k : k + n]
-    rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
-    out = []
-    for depth in depths:
-        while h < depth:
-            step = min(h, depth - h)
-            nxt = np.zeros(n, np.int64)
-            nxt[: max(0, n - step)] = rank[step:] + 1
-            rank = np.unique(rank * (n + 1) + nxt, return_inverse=True)[1].astype(np.int64)
-            h += step
-        out.append(rank)
-    return out
+    rank = np.unique(key, return_inverse=True)[1]
+    while h < depth:
+        step = min(h, depth - h)
+        nxt = np.zeros(n, np.int64)
+        nxt[: max(0, n - step)] = rank[step:] + 1
+        rank = np.unique(rank * (n + 1) + nxt, return_inverse=True)[1]
+        h += step
+    return rank
 
 
 def lpf_array(data: np.ndarray) -> np.ndarray:
     """Longest previous factor of every position, by previous and next smaller values in suffix order."""
     n = len(data)
-    order = np.argsort(suffix_ranks(data, max(1, n))[0], kind="stable")
+    order = np.argsort(suffix_ranks(data, max(1, n)), kind="stable")
 
     def lcp(i: int, j: int) -> int:
         k = 0
@@ -90,7 +87,7 @@ def earlier_copies(rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def previous_factors_of(data: np.ndarray, depth: int) -> np.ndarray:
     """Whether each position starts an earlier copy of ``depth`` bytes that fits in ``data``."""
-    later, _ = earlier_copies(suffix_ranks(data, depth)[0])
+    later, _ = earlier_copies(suffix_ranks(data, depth))
     later[max(0, len(data) - depth + 1) :] = False
     return later
 
@@ -185,7 +182,7 @@ class _Cells:
                     doc.append(a + np.searchsorted(b.offs, x, side="right") - 1)
                 np.bitwise_or.at(rows[:, 14], inv, np.left_shift(np.uint8(1), d.astype(np.uint8)))
                 ctx.append(rows)
-                own.append((i, d, inv + base))
+                own.append((i.astype(np.int32), d.astype(np.uint8), (inv + base).astype(np.int32)))
                 base += len(x)
             self.parts.append((b, own))
         core = np.concatenate(core or [np.zeros(0, np.uint64)])
@@ -229,43 +226,55 @@ class _Cells:
         return out[0][self.sent], out[1][self.sent]
 
 
+#: Cells of a bucket that are compared at once; cells of one core stay together.
+AT_ONCE = 150_000
+
+
 def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A bucket: which windows several cells hold, and which an earlier document holds."""
+    """A bucket: which windows several cells hold, and which an earlier document of another block holds."""
     z = zstandard.ZstdDecompressor()
     cores = [np.frombuffer(x, np.uint64) for x in pdf["core"]]
     sizes = [len(x) for x in cores]
-    ctx = [np.frombuffer(z.decompress(x), np.uint8).reshape(15, -1).T for x in pdf["ctx"]]
-    core, ctx = np.concatenate(cores), np.concatenate(ctx)
+    core = np.concatenate(cores)
+    ctx = np.concatenate([np.frombuffer(z.decompress(x), np.uint8).reshape(15, -1).T for x in pdf["ctx"]])
     doc = np.concatenate([np.frombuffer(z.decompress(x), np.int64) for x in pdf["doc"]])
     block = np.repeat(pdf["block"].to_numpy(), sizes)
-    order = np.lexsort((block, doc))
-    age = np.empty(len(order), np.int64)
-    age[order] = np.arange(len(order))
-    keys, who = [], []
-    pad = np.zeros((len(core), 8), np.uint8)
-    for d in range(8):
-        on = np.flatnonzero(ctx[:, 14] >> d & 1)
-        pad[:, : 7 - d] = ctx[:, d:7]
-        pad[:, 7 - d : 7] = ctx[:, 7 : 7 + d]
-        pad[:, 7] = d
-        keys.append(mix64(core[on] + mix64(pad[on].view(np.uint64).ravel())))
-        who.append(on * 8 + d)
-    key, who = np.concatenate(keys), np.concatenate(who)
-    order = np.lexsort((age[who >> 3], key))
-    k = key[order]
-    later, shared = np.zeros(len(k), bool), np.zeros(len(k), bool)
-    later[1:] = k[1:] == k[:-1]
-    shared |= later
-    shared[:-1] |= later[1:]
-    # earlier in another block; what is earlier in the same one, the block knows itself
-    head = np.maximum.accumulate(np.where(later, 0, np.arange(len(k)))) if len(k) else who
-    at = block[who[order] >> 3]
-    later = at != at[head]
-    out = []
-    for flag in (shared, later):
-        bits = np.zeros(len(core) * 8, bool)
-        bits[who[order[flag]]] = True
-        out.append(np.packbits(bits.reshape(-1, 8), axis=1, bitorder="little").ravel())
+    order = np.lexsort((block, doc, core))
+    del doc
+    head = np.flatnonzero(np.concatenate([[True], core[order[1:]] != core[order[:-1]]])) if len(order) else order
+    alone = np.diff(np.concatenate([head, [len(order)]])) == 1  # nothing to compare a lonely core with
+    cuts, out = [0], np.zeros((2, len(core)), np.uint8)
+    while cuts[-1] < len(order):
+        k = np.searchsorted(head, cuts[-1] + AT_ONCE)
+        cuts.append(int(head[k]) if k < len(head) else len(order))
+    lonely = np.zeros(len(order), dtype=bool)
+    lonely[head[alone]] = True
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        own = order[a:b][~lonely[a:b]]  # by core, then the order of documents
+        c, x = core[own], ctx[own]
+        pad = np.zeros((len(own), 8), np.uint8)
+        keys, who = [], []
+        for d in range(8):
+            on = np.flatnonzero(x[:, 14] >> d & 1)
+            pad[:, : 7 - d] = x[:, d:7]
+            pad[:, 7 - d : 7] = x[:, 7 : 7 + d]
+            pad[:, 7] = d
+            keys.append(mix64(c[on] + mix64(pad[on].view(np.uint64).ravel())))
+            who.append((on * 8 + d).astype(np.int32))
+        key, who = np.concatenate(keys), np.concatenate(who)
+        by = np.argsort(key, kind="stable")  # of one window all cells have one bit, so they are in the order of documents
+        k, who = key[by], who[by]
+        again = np.zeros(len(k), bool)
+        again[1:] = k[1:] == k[:-1]
+        shared = again.copy()
+        shared[:-1] |= again[1:]
+        # earlier in another block; what is earlier in the same one, the block knows itself
+        first = np.maximum.accumulate(np.where(again, 0, np.arange(len(k)))) if len(k) else by
+        at = block[own][who >> 3]
+        for row, flag in enumerate((shared, at != at[first])):
+            bits = np.zeros(len(own) * 8, bool)
+            bits[who[flag]] = True
+            out[row, own] = np.packbits(bits.reshape(-1, 8), axis=1, bitorder="little").ravel()
     ends = np.cumsum(sizes)
     return pd.DataFrame(
         {
@@ -277,26 +286,33 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def _copies(s: _Cells) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For the windows of each width, in order: has an earlier copy in the block, has any; by suffix ranks of the candidate regions."""
-    texts, pos, at = [], [[] for _ in s.parts[0][1]] if s.parts else [], 0
+def _copies(s: _Cells) -> tuple[np.ndarray, np.ndarray]:
+    """For the windows of the width, in order: has an earlier copy in the block, has any; by suffix ranks of the candidate regions."""
+    texts, pos, at = [], [], 0
     for b, own in s.parts:
-        flags = np.zeros(len(b.buf), dtype=bool)
-        wide = b.half if len(own) > 1 else s.width
-        flags[own[-1][0]] = True
-        x, y = runs(covered(flags, wide, len(b.buf)))
-        if not len(x):
+        i = own[0][0].astype(np.int64)
+        if not len(i):
             continue
+        flags = np.zeros(len(b.buf), dtype=bool)
+        flags[i] = True
+        x, y = runs(covered(flags, s.width, len(b.buf)))
         shift = at - x + np.concatenate([[0], np.cumsum(y - x)[:-1]])
         texts.extend(b.buf[p:q] for p, q in zip(x, y, strict=True))
-        for k, (i, _, _) in enumerate(own):
-            pos[k].append(i + shift[np.searchsorted(x, i, side="right") - 1])
+        pos.append(i + shift[np.searchsorted(x, i, side="right") - 1])
         at += int((y - x).sum())
     if not texts:
-        return [earlier_copies(np.zeros(0, np.int64)) for _ in pos]
-    depths = (s.parts[0][0].half, s.width) if len(pos) > 1 else (s.width,)
-    ranks = suffix_ranks(np.concatenate(texts), *depths)[::-1]
-    return [earlier_copies(r[np.concatenate(p)]) for r, p in zip(ranks, pos, strict=True)]
+        return earlier_copies(np.zeros(0, np.int64))
+    return earlier_copies(suffix_ranks(np.concatenate(texts), s.width)[np.concatenate(pos)])
+
+
+def _twice(s: _Cells) -> np.ndarray:
+    """A bit a half-width window of each sent cell: the block holds it in two equal cells."""
+    count = np.zeros(len(s.core) * 8, np.uint8)
+    for _, own in s.parts:
+        _, d, cell = own[1]
+        n = np.bincount(s.sent[cell] * 8 + d, minlength=len(count))
+        count = np.minimum(count + np.minimum(n, 2), 2).astype(np.uint8)
+    return np.packbits((count > 1).reshape(-1, 8), axis=1, bitorder="little").ravel()
 
 
 OUTPUTS = {"longest_repeat": "long", "kept": "binary", "kept_text": "string", "kept_sha256": "string"}
@@ -333,17 +349,20 @@ def suffix_array_dedup(docs: DataFrame, width: int = 400, keep: str = "first", c
         grams = pdf["before"].isna().to_numpy()
         s = _Cells(block, pdf[grams], width, buckets, both)
         found, before = s.flags(pdf[~grams])
-        copies = _copies(s)
+        later, shared = _copies(s)
+        twice = _twice(s)[s.sent] if both else found
         ids = block.id_list()
         out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", *outputs)}
-        at = [0, 0]
+        at = 0
         for b, own in s.parts:
             hit = []
             for k, (i, d, cell) in enumerate(own):
-                here = slice(at[k], at[k] + len(i))
-                at[k] += len(i)
-                first_stays = keep == "first" and not k
-                flag = copies[k][0][here] | (before[cell] >> d & 1 > 0) if first_stays else copies[k][1][here] | (found[cell] >> d & 1 > 0)
+                if k:
+                    flag = (found[cell] | twice[cell]) >> d & 1 > 0
+                else:
+                    here = slice(at, at + len(i))
+                    at += len(i)
+                    flag = later[here] | (before[cell] >> d & 1 > 0) if keep == "first" else shared[here] | (found[cell] >> d & 1 > 0)
                 flags = np.zeros(len(b.buf), dtype=bool)
                 flags[i[flag]] = True
                 hit.append(covered(flags, b.half if k else width, len(b.buf)))
