@@ -19,6 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import U64, isin_sorted
 
@@ -241,10 +242,12 @@ def identify(docs: DataFrame, held_out: tuple[int, int] = (4, 2), sample_rows: i
     sent = docs.sparkSession.sparkContext.broadcast(ident)  # bounded by the sample
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     extra = [c for c in columns if c not in ("doc_id",)]
-    src = docs.select(F.col("text").cast("string").cast("binary").alias("__text"), F.col("doc_id").cast("long").alias("doc_id"), *extra)
-    out = "lang_pred string, score double, bits_per_char double, rejected boolean"
-    names = ["doc_id", *extra]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[1:]) + ", held_out boolean, " + out
+    private = [f"__{k}" for k in range(len(extra))]  # so that none clashes with a result
+    src = docs.select(F.col("text").cast("string").cast("binary").alias("__text"), F.col("doc_id").cast("long").alias("doc_id"), *(F.col(f"`{c}`").alias(n) for c, n in zip(extra, private, strict=True)))
+    names = ["doc_id", *private]
+    schema = T.StructType(src.schema.fields[1:])
+    for c, kind in (("held_out", "boolean"), ("lang_pred", "string"), ("score", "double"), ("bits_per_char", "double"), ("rejected", "boolean")):
+        schema.add(c, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
@@ -262,5 +265,25 @@ def identify(docs: DataFrame, held_out: tuple[int, int] = (4, 2), sample_rows: i
                 names=[*names, "held_out", "lang_pred", "score", "bits_per_char", "rejected"],
             )
 
-    return src.mapInArrow(run, schema)
+    done = src.mapInArrow(run, schema)
+    return done.select("doc_id", *(F.col(n).alias(c) for n, c in zip(private, extra, strict=True)), *done.columns[len(names) :])
 
+
+def plausible(docs: DataFrame, held_out: tuple[int, int] = (4, 2), sample_rows: int = SAMPLE_ROWS, limit: float = 6.0) -> DataFrame:
+    """The rows of ``docs`` that identify() doesn't reject, with all their columns of any name and type. Null texts, empty
+    ones and those without a letter go; an empty table gives no row; repeated rows share their fate."""
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(train(docs, held_out, sample_rows))  # bounded by the sample
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        for b in batches:
+            texts = [b"" if t is None else t.encode("utf-8", "replace") for t in b.column("text").to_pylist()]
+            keep: list[int] = []
+            for k in range(0, len(texts) if model else 0, 300):
+                p = model.predict(texts[k : k + 300])
+                keep.extend(k + np.flatnonzero((p["lang_pred"].to_numpy() != "und") & (p["deviation"].to_numpy(float) <= limit)))
+            yield b.take(pa.array(keep, pa.int64()))
+
+    return docs.mapInArrow(run, docs.schema)
