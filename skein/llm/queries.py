@@ -33,7 +33,8 @@ def op1_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
-    return cascade(_documents(spark, sf_dir)).select(
+    measures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return cascade(_documents(spark, sf_dir), measures=measures).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (F.col("kept") & ~failed).alias("kept")
     )
 
