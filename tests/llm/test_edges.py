@@ -246,7 +246,7 @@ def test_decontamination(spark, docs):
     item = sentence(1, 80).split()
     items = spark.createDataFrame([(1, " ".join(item[10:40])), (2, "never seen " * 9), (3, None), (None, "tiny text"), (4, "Tiny TEXT!")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in contaminated(docs, items).collect()}
-    assert got == {(5, 1), (6, 1), (11, 1), (4, 4)}  # the longest text holds all that sentence() makes
+    assert got == {(5, 1), (6, 1), (11, 1), (4, 4), (4, None)}  # the longest text holds all that sentence() makes
     out = without_contamination(docs, items)
     assert out.columns == docs.columns and out.count() == docs.count() - 5
 
@@ -328,3 +328,132 @@ def test_suffix_array_passes_any_column(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>, a array<int>, kept string, kept_text binary, n_bytes double")
     out = suffix_array_dedup(df, 16, "first", columns=("m", "a", "kept", "kept_text", "n_bytes"), outputs=("longest_repeat",))
     assert sorted((r[0]["k"], r[1][0], r[2], bytes(r[3]), r[4], r["doc_id"]) for r in out.collect()) == [(i, i, "x", b"y", 1.5, i) for i in range(3)]
+
+
+def test_cascade_skips_what_a_rejected_text_need_not_know(spark):
+    from pyspark.sql import functions as F
+
+    from skein.llm.quality import rule, verdict
+
+    df = spark.createDataFrame([("a b",), ("c d",)], "__t string")
+    rules = {"short": "{n_words} < 5", "never": "CAST(raise_error('evaluated') AS boolean)"}
+    assert df.select(verdict(["short", "never"], rules).alias("v")).where("v = 'short'").count() == 2
+    with pytest.raises(Exception, match="evaluated"):
+        df.select(verdict(["never", "short"], rules).alias("v")).where("v = 'short'").collect()
+    assert df.where(rule("NULL > 1")).count() == 0 and df.select(F.lit(1)).count() == 2
+
+
+def test_cascade_measures_and_clashing_columns(spark, docs):
+    out = cascade(docs, keep=("n", "kept", "score"), measures=("n_words",))
+    assert out.columns == ["doc_id", "n", "kept", "score", "n_words", "rejected_by", "kept"]
+    whole = {(r.n_words, r.rejected_by is None) for r in cascade(docs).select("n_words", "rejected_by").collect()}
+    assert {(r[4], r[5] is None) for r in out.collect()} == whole
+
+
+def test_sharding_beside_a_hot_group(spark):
+    """A group of a third of all rows and pairs: the pairs come together though some shards are full."""
+    rows = [(i, "hot") for i in range(3000)] + [(3000 + i, f"pair {i // 2}") for i in range(4000)] + [(7000 + i, f"single {i}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = balanced_label_propagation(df, 8).collect()
+    sizes = Counter(r.shard for r in got)
+    assert max(sizes.values()) - min(sizes[s] for s in range(8)) <= 1
+    shard = {r.doc_id: r.shard for r in got}
+    cut = sum(shard[3000 + 2 * k] != shard[3001 + 2 * k] for k in range(2000))
+    assert cut < 40 and len({shard[i] for i in range(3000)}) <= 4
+
+
+def test_similarity_does_not_depend_on_other_items():
+    from skein.llm.decontam import Index
+
+    item = sentence(1, 40)
+    text = (sentence(77, 30) + " " + item.replace(item.split()[20], "changed") + " " + sentence(78, 20)).encode()
+    alone = Index([(1, item.encode())], 0.6).matches([text])
+    among = Index([(1, item.encode())] + [(k, sentence(1, 20 + k).encode()) for k in range(2, 60)], 0.6).matches([text])
+    assert alone and alone[0] == next(m for m in among if m[1] == 1)
+
+
+def test_windows_like_items_against_all_windows():
+    """Best windows and similarities are those of all windows and items, but for few at the threshold."""
+    from skein.llm.decontam import Index
+
+    rng = np.random.default_rng(11)
+    vocab = [f"v{k}" * (1 + k % 3) for k in range(4000)]
+    items = [" ".join(rng.choice(vocab, int(n))) for n in rng.integers(30, 50, 240)]
+    docs, want = [], {}
+    for k, t in enumerate(items):
+        w = t.split()
+        for p in rng.choice(len(w), k % 4, replace=False):
+            w[p] = "other"
+        docs.append(" ".join([*rng.choice(vocab, 15), *w, *rng.choice(vocab, 9)]))
+
+    def bag(w):
+        return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+
+    def weigh(b):
+        return sum(sum(map(len, s)) * c for s, c in b.items())
+
+    for d, t in enumerate(docs):
+        w = t.split()
+        for i, x in enumerate(items):
+            if not set(x.split()) & set(w):
+                continue
+            own = bag(x.split())
+            n = len(x.split())
+            sims = [weigh(b & own) / (weigh(b) + weigh(own) - weigh(b & own)) for b in (bag(w[p : p + n]) for p in range(len(w) - n + 1))]
+            if sims and max(sims) >= 0.8:
+                want[d, i] = (int(np.argmax(sims)), round(max(sims), 9))
+    found = Index([(i, t.encode()) for i, t in enumerate(items)], 0.8).matches([t.encode() for t in docs])
+    got = {(d, i): (p, round(sim, 9)) for d, i, p, _, sim in found}
+    assert set(got) <= set(want) and len(got) >= 0.95 * len(want) > 40
+    assert all(got[k] == want[k] for k in got)
+
+
+@pytest.mark.parametrize(
+    ("text", "word"),
+    [("shi7 x", "shit"), ("a$$ x", "ass"), ("$h1+ now", "shit"), ("f--u--c--k it", "fuck"), ("b. i. t. c. h. y", "bitch"), ("a s s h o l e then", "asshole"), ("$tupid", "stupid"), ("!diot", "idiot"), ("clas$", "class"), ("(@pple)", "apple"), ("st" + "u" * 70 + "pid", "stupid"), ("s-" + "t-" * 90 + "u-p-i-d", "stupid")],
+)
+def test_obfuscated_words_are_read(text, word):
+    from skein.llm.text import word_spans
+    from skein.llm.toxicity import Channel, suspicious
+
+    tri: dict = {}
+    for w in ("shit", "ass", "fuck", "bitch", "asshole", "stupid", "idiot", "class", "apple"):
+        x = "^^" + w + "$"
+        for k in range(len(x) - 2):
+            tri[x[k : k + 3]] = tri.get(x[k : k + 3], 0) + 9
+    c = Channel(tri)
+    buf = np.frombuffer(text.encode() + b"\n", np.uint8)
+    assert any(word in r for _, t in suspicious(buf, *word_spans(buf)) for r in c.restore(t))
+
+
+def test_runs_of_packing_span_batches():
+    import pyarrow as pa
+
+    from skein.llm.packing import RUN, _runs
+
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(k * 1000, k * 1000 + 1000))], names=["x"]) for k in range(10)]
+    got = list(_runs(iter(batches)))
+    assert [t.num_rows for t in got] == [RUN, RUN, 10_000 - 2 * RUN] and sum((t.column(0).to_pylist() for t in got), []) == list(range(10_000))
+
+
+def test_walk_goes_from_low_degrees_to_the_closest():
+    from skein.llm.packing import walk
+
+    #  0 - 1 - 2 (weights 1, 3), 1 - 3 (weight 2), 4 alone
+    near = [{1: 1}, {0: 1, 2: 3, 3: 2}, {1: 3}, {1: 2}, {}]
+    assert walk(near) == [4, 0, 1, 2, 3]
+
+
+def test_rejected_languages_go_and_columns_stay(spark):
+    from skein.llm.langid import plausible
+
+    names = "doc_id long, text string, lang string, score int, rejected string, held_out map<string,int>, lang_pred array<int>"
+    rows = [(i, " ".join(["the", "thing", "other", "within"][(i + k) % 4] for k in range(30)), "en", 1, "r", {"k": i}, [i]) for i in range(80)]
+    rows += [(900, None, None, None, None, None, None), (901, "12 !", "en", 1, "r", {}, [])]
+    df = spark.createDataFrame(rows, names)
+    out = plausible(df)
+    assert out.schema == df.schema and sorted(r.doc_id for r in out.collect()) == list(range(80))
+    assert plausible(df.limit(0)).count() == 0
+    passed = identify(df, columns=("score", "rejected", "held_out"))
+    assert passed.columns == ["doc_id", "score", "rejected", "held_out", "held_out", "lang_pred", "score", "bits_per_char", "rejected"]
+    assert passed.count() == 82

@@ -96,3 +96,22 @@ def test_packing(stages):
     got = stages[5].collect()
     assert all(zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in got)
     assert sum(r.length for r in got) == sum(map(len, ids.values()))
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stage_edges(spark, name):
+    """Nulls in every column, repeated rows, a long text, clashing names and types, and an empty table."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score map<string,int>, rejected string, held_out array<int>, lang_pred int, kept string, kept_text binary, n_bytes double, node long, key string, band int, start string, bits_per_char int"
+    words = ["the", "thing", "other", "within", "again", "upon"]
+    text = lambda k, n: " ".join(words[(k * 31 + i * i) % 6] + words[(k + i * 7) % 6] for i in range(n))
+    more = ({"a": 1}, "r", [1], 2, "kept", b"x", 0.5, 3, "key", 4, "s", 5)
+    rows = [(i, text(i, 120), "en", "s", 10, *more) for i in range(30)]
+    rows += [rows[4], (50, text(77, 40_000), "en", None, None, *more), (None, None, None, None, None, *[None] * 12), (51, "", "en", "s", 0, *more), (None, text(5, 90), None, "s", 1, *more)]
+    df = spark.createDataFrame(rows, schema)
+    out = stage(spark, df, SF)
+    got = out.collect()
+    assert 0 < len(got) and (name == "packing" or out.columns == df.columns)
+    if name not in ("packing", "near_duplicate", "language"):
+        assert sum(r.text is None for r in got) == 1 and len(got) == len(rows)
+    assert stage(spark, df.limit(0), SF).count() == 0
