@@ -4,7 +4,8 @@ A rule is a Boolean SQL expression over measures of a text, true for a text to r
 bounded sample, chosen by a hash, the cascade times each rule from the raw text and takes its share of
 rejections; rules run in the order of rejections per cost, in one CASE. What only a later rule
 measures isn't computed for a text that an earlier one rejects. Costs count as powers of four of the
-dearest rule's, so that the noise of a clock seldom changes the order. The order changes the cost
+dearest rule's, so that the noise of a clock changes the order
+less often. The order changes the cost
 only: the verdict is the same in any order.
 """
 
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Texts of the sample, and how often each is read to time a rule.
-SAMPLE_ROWS, TIMES = 200, 3
+SAMPLE_ROWS, TIMES = 200, 1
 SPACE = r"[\x20\x09-\x0D]"
 #: White space for translate(): space, \t, \n, \x0B, \f, \r.
 SPACES = " \t\n\x0b\f\r"
@@ -81,7 +82,7 @@ def rule(text: str, ready: tuple[str, ...] = ()) -> Column:
 def order_rules(sample: DataFrame, rules: dict[str, str], times: int = TIMES) -> list[tuple[str, float, float]]:
     """(rule, share rejected, cost) over a stored sample of texts (__t), best rejection per cost first; ties by name.
 
-    Each rule reads each text ``times`` times, in a round that warms up and in two rounds of which the lesser time counts, less the
+    Each rule reads each text ``times`` times, in a round that warms up and in one that counts, less the
     time of reading the texts alone. Costs below a sixteenth of the largest are alike."""
     n = max(1, sample.count())
     every = sample.withColumn("__k", F.explode(F.sequence(F.lit(1), F.lit(times))))
@@ -93,7 +94,7 @@ def order_rules(sample: DataFrame, rules: dict[str, str], times: int = TIMES) ->
         return time.perf_counter() - began
 
     columns = {name: rule(text) for name, text in rules.items()} | {None: F.length("__t") < 0}
-    rounds = [{name: seconds(c) for name, c in columns.items()} for _ in range(3)]
+    rounds = [{name: seconds(c) for name, c in columns.items()} for _ in range(2)]
     taken = {name: min(r[name] for r in rounds[1:]) for name in columns}
     shares = sample.select(*(F.count_if(columns[name]).alias(f"s{k}") for k, name in enumerate(rules))).first()
     raw = {name: taken[name] - taken[None] for name in rules}
@@ -127,7 +128,8 @@ def cascade(docs: DataFrame, rules: dict[str, str] | None = None, sample_rows: i
         order = [name for name, _, _ in order_rules(sample, rules)]
     finally:
         sample.unpersist()
-    # one projection computes words once for all measures that need them
-    known = base.select("*", *(F.expr(MEASURES[m]).alias(f"__{m}") for m in measures))
+    # words are split once for all measures that need them
+    split = base.select("*", F.expr(WORDS).alias("__w")) if any(WORDS in MEASURES[m] for m in measures) else base
+    known = split.select("*", *(F.expr(MEASURES[m].replace(WORDS, "__w")).alias(f"__{m}") for m in measures))
     judged = known.withColumn("__by", verdict(order, rules, measures))
     return judged.select("doc_id", *(F.col(f"__c{k}").alias(c) for k, c in enumerate(keep)), *(F.col(f"__{m}").alias(m) for m in measures), F.col("__by").alias("rejected_by"), F.col("__by").isNull().alias("kept"))
