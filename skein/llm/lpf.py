@@ -287,10 +287,20 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _copies(s: _Cells) -> tuple[np.ndarray, np.ndarray]:
-    """For the windows of the width, in order: has an earlier copy in the block, has any; by suffix ranks of the candidate regions."""
-    texts, pos, at = [], [], 0
+    """For the windows of the width, in order: has an earlier copy in the block, has any; by suffix ranks of the regions of
+    windows whose hash the block holds twice. Equal windows have equal hashes, so no copy is lost; the ranks decide."""
+    hashes = [b.hash(own[0][0].astype(np.int64), s.width) for b, own in s.parts if len(own[0][0])]
+    later, shared = earlier_copies(np.zeros(0, np.int64))
+    if not hashes:
+        return later, shared
+    whole = np.concatenate(hashes)
+    line = np.sort(whole)
+    twice = isin_sorted(whole, np.unique(line[1:][line[1:] == line[:-1]]))
+    later, shared = np.zeros(len(whole), dtype=bool), np.zeros(len(whole), dtype=bool)
+    texts, pos, at, k = [], [], 0, 0
     for b, own in s.parts:
         i = own[0][0].astype(np.int64)
+        i, k = i[twice[k : k + len(i)]], k + len(i)
         if not len(i):
             continue
         flags = np.zeros(len(b.buf), dtype=bool)
@@ -300,9 +310,9 @@ def _copies(s: _Cells) -> tuple[np.ndarray, np.ndarray]:
         texts.extend(b.buf[p:q] for p, q in zip(x, y, strict=True))
         pos.append(i + shift[np.searchsorted(x, i, side="right") - 1])
         at += int((y - x).sum())
-    if not texts:
-        return earlier_copies(np.zeros(0, np.int64))
-    return earlier_copies(suffix_ranks(np.concatenate(texts), s.width)[np.concatenate(pos)])
+    if texts:
+        later[twice], shared[twice] = earlier_copies(suffix_ranks(np.concatenate(texts), s.width)[np.concatenate(pos)])
+    return later, shared
 
 
 def _twice(s: _Cells) -> np.ndarray:

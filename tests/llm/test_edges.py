@@ -457,3 +457,28 @@ def test_rejected_languages_go_and_columns_stay(spark):
     passed = identify(df, columns=("score", "rejected", "held_out"))
     assert passed.columns == ["doc_id", "score", "rejected", "held_out", "held_out", "lang_pred", "score", "bits_per_char", "rejected"]
     assert passed.count() == 82
+
+
+def test_only_windows_that_a_block_holds_twice_are_ranked(monkeypatch):
+    """All grams lie in other blocks too, but only some passages of the block repeat in it: the ranks need not sort the rest."""
+    import pandas as pd
+    import zstandard
+
+    from skein.llm import lpf
+
+    texts = [f"{sentence(7, 60)} {sentence(8, 400)}".encode(), f"{sentence(9, 300)} {sentence(7, 60)}".encode(), sentence(10, 500).encode()]
+    raw = b"".join(t + b"\n" for t in texts)
+    row = pd.Series({"block": 0, "ids": np.arange(3).tobytes(), "known": np.ones(3, bool).tobytes(), "lens": np.array([len(t) for t in texts]).tobytes(), "text": zstandard.compress(raw), "raw": len(raw), "extra": None})
+    grams = np.unique(np.concatenate([lpf._Batch(buf, offs, 100).gram for *_, buf, offs in blocks.Block(row).batches()]))
+    answer = pd.DataFrame([(k, x.tobytes()) for k, x in blocks.deal(grams, 4)], columns=["bucket", "found"])
+    cells = lpf._Cells(blocks.Block(row), answer, 100, 4, False)
+    sorted_bytes, plain = [], lpf.suffix_ranks
+    monkeypatch.setattr(lpf, "suffix_ranks", lambda data, depth: (sorted_bytes.append(len(data)), plain(data, depth))[1])
+    later, shared = lpf._copies(cells)
+    starts = np.concatenate([own[0][0] for _, own in cells.parts])
+    windows = [raw[i : i + 100] for i in starts]
+    count, seen = Counter(windows), set()
+    assert shared.tolist() == [count[w] > 1 for w in windows]
+    assert later.tolist() == [w in seen or bool(seen.add(w)) for w in windows]
+    twice = {i + k for i, w in zip(starts.tolist(), windows, strict=True) if count[w] > 1 for k in range(100)}
+    assert sum(sorted_bytes) == len(twice) < len(raw) // 2
