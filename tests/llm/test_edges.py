@@ -482,3 +482,57 @@ def test_only_windows_that_a_block_holds_twice_are_ranked(monkeypatch):
     assert later.tolist() == [w in seen or bool(seen.add(w)) for w in windows]
     twice = {i + k for i, w in zip(starts.tolist(), windows, strict=True) if count[w] > 1 for k in range(100)}
     assert sum(sorted_bytes) == len(twice) < len(raw) // 2
+
+
+def test_packing_finds_neighbours_in_the_whole_corpus(spark):
+    """3,000 pairs of texts that share six of ten words lie in two runs; those that agree in a sketch value follow each other."""
+    from skein.llm.packing import sketches
+
+    texts = {2 * k + side: " ".join([f"p{k}x{i}" for i in range(6)] + [f"q{k}x{side}x{i}" for i in range(2)]) for k in range(3000) for side in (0, 1)}
+    got = pack_related(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), length=1 << 20).orderBy("sequence_id", "offset").collect()
+    at = {r.doc_id: k for k, r in enumerate(got)}
+    sk = sketches([texts[i].encode() for i in range(6000)])
+    related = [k for k in range(3000) if (sk[2 * k] == sk[2 * k + 1]).any()]
+    assert len(at) == 6000 and len(related) > 2900
+    assert all(abs(at[2 * k] - at[2 * k + 1]) == 1 for k in related)
+
+
+def test_paths_and_cycles_are_placed(spark):
+    from skein.llm.packing import placed
+
+    rng = np.random.default_rng(5)
+    want, sides = [], {}
+    for size, ring in [(1, False), (2, True), (3, True), (7, True), (40, True), (2, False), (5, False), (100, False), (33, True)]:
+        first = len(sides)
+        rows = [int(x) for x in first + rng.permutation(size)]
+        sides |= {x: [-1, -1] for x in rows}
+        for x, y in zip(rows, rows[1:] + rows[:1] * ring):
+            i, j = (int(rng.choice([s for s in (0, 1) if sides[z][s] < 0])) for z in (x, y))
+            sides[x][i], sides[y][j] = 2 * y + j, 2 * x + i
+        want.append((set(rows), {frozenset(p) for p in zip(rows, rows[1:] + rows[:1] * ring)}))
+    got: dict = {}
+    for r in placed(spark.createDataFrame([(x, *s) for x, s in sides.items()], "row long, a long, b long")).orderBy("path", "place").collect():
+        got.setdefault(r.path, []).append(r.row)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(rows) for rows, _ in want)
+    for rows in got.values():
+        pairs = next(p for r, p in want if r == set(rows))
+        assert all(frozenset(p) in pairs for p in zip(rows, rows[1:]))
+
+
+def test_no_free_sides_that_agree_are_left_on_two_paths():
+    from skein.llm.packing import STEPS, link
+
+    rng = np.random.default_rng(3)
+    sketch = rng.integers(0, 60, (500, 4))
+    row, sides, label = np.arange(500), np.full((500, 2), -1), np.arange(500)
+    for _, sets in STEPS:
+        for values in sets:
+            link(row, sketch, sides, label, values)
+            ends = np.flatnonzero((sides < 0).any(axis=1))
+            groups: dict = {}
+            for x in ends:
+                groups.setdefault(tuple(sketch[x, list(values)]), set()).add(int(label[x]))
+            assert all(len(g) == 1 for g in groups.values())
+    other = np.where(sides < 0, -1, sides >> 1)
+    assert all(x in other[y] for x in range(500) for y in other[x] if y >= 0)
+    assert sum((sketch[x] == sketch[y]).any() for x in range(500) for y in other[x] if y >= 0) == (other >= 0).sum()
