@@ -8,7 +8,7 @@ word: once where a repeated letter may stand for one, and once where doubled let
 any length are decoded, long ones in overlapping pieces. Other tokens are their own restoration.
 A word that blanks cut into longer parts isn't put together.
 
-Scoring: from labelled rows a lexicon of word and word-beginning hashes is learned with
+Scoring: from all labelled rows a lexicon of word and word-beginning hashes is learned with
 log-odds of presence; a text is described by its strongest distinct hits and its length, and
 a logistic regression maps that to a probability at the labels' true share.
 """
@@ -18,7 +18,8 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import materialize
 from .text import BYTE64, U64, _P, _PINV, isin_sorted, mix64, powers, word_spans
 
-SAMPLE_ROWS = 4000
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
 SEPARATORS = set(".-_*~'`^,:;/\\ ")
 BEGINNINGS = (4, 5, 6, 7, 8, 9)
@@ -204,46 +205,55 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(self.describe(texts) @ self.coef, -30, 30)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.3) -> np.ndarray:
-    b = np.zeros(x.shape[1])
+def _sums(x: np.ndarray, y: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Gradient and, row by row, second derivatives of the weighted logistic loss."""
+    p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
+    return np.concatenate([x.T @ (w * (p - y)), ((x * (w * p * (1 - p))[:, None]).T @ x).ravel()])
+
+
+def _newton(sums: Callable[[np.ndarray], np.ndarray], n: int, ridge: float = 0.3) -> np.ndarray:
+    """Logistic regression by Newton steps; ``sums`` adds up _sums() of all rows."""
+    b = np.zeros(n)
     for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        g = x.T @ (w * (p - y)) + ridge * b
-        step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(b)), g)
+        s = sums(b)
+        step = np.linalg.solve(s[n:].reshape(n, n) + ridge * np.eye(n), s[:n] + ridge * b)
         b -= step
         if np.abs(step).max() < 1e-8:
             break
     return b
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (5, 0), sample_rows: int = SAMPLE_ROWS) -> Scorer | None:
-    """Fit on about ``sample_rows`` labelled rows of each label, chosen by a hash of the id, outside the held-out part.
-    None: no row, or one label only."""
+def train(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (5, 0), sample_rows: int | None = None) -> Scorer | None:
+    """Fit on all labelled rows outside the held-out part, or on about ``sample_rows`` of each label, chosen by a hash of the id:
+    lexicon and channel on six tenths of them, the regression on the rest. None: no row, or one label only."""
     key = F.col("doc_id").cast("string")
     lab = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (F.crc32(key) % held_out[0] != held_out[1]))
     sizes = {r["toxic"]: r["count"] for r in lab.groupBy("toxic").count().collect()}  # two rows
     if len(sizes) < 2:
         return None
-    part = F.when(F.col("toxic") == 1, F.lit(min(1.0, sample_rows / sizes[1]))).otherwise(F.lit(min(1.0, sample_rows / sizes[0])))
-    picked = lab.where(F.pmod(F.xxhash64(key, F.lit(3)), F.lit(1 << 20)) < part * (1 << 20)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    late = (F.pmod(F.xxhash64(key, F.lit(5)), F.lit(10)) < 4).alias("late")
-    rows = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id").select("text", "toxic", late)
+    if sample_rows is not None:
+        part = F.when(F.col("toxic") == 1, F.lit(min(1.0, sample_rows / sizes[1]))).otherwise(F.lit(min(1.0, sample_rows / sizes[0])))
+        lab = lab.where(F.pmod(F.xxhash64(key, F.lit(3)), F.lit(1 << 20)) < part * (1 << 20))
+    picked = lab.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    late = F.pmod(F.xxhash64(key, F.lit(5)), F.lit(10)) < 4
+    texts = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text")).where(F.col("text").isNotNull() & (F.crc32(key) % held_out[0] != held_out[1]))
+    early_rows, late_rows = (texts.where(part).join(picked.hint("shuffle_hash"), "doc_id").select("text", "toxic") for part in (~late, late))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             dfs: dict[int, list] = {0: [], 1: []}
             tri: dict[str, int] = {}
             n = [0, 0]
-            for text, toxic, later in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                if later:
-                    continue
+            words: Counter[str] = Counter()
+            for text, toxic in zip(*(b.column(k).to_pylist() for k in range(2)), strict=True):
                 low = text.decode("utf-8", "replace").lower()
                 n[toxic] += 1
                 dfs[toxic].append(np.unique(features(np.frombuffer(low.encode("utf-8", "replace") + b"\n", np.uint8))[1]))
-                for w in re.findall(r"[^\W\d_]+", low):
-                    w = "^^" + w + "$"
-                    for k in range(len(w) - 2):
-                        tri[w[k : k + 3]] = tri.get(w[k : k + 3], 0) + 1
+                words.update(re.findall(r"[^\W\d_]+", low))
+            for w, m in words.items():
+                w = "^^" + w + "$"
+                for k in range(len(w) - 2):
+                    tri[w[k : k + 3]] = tri.get(w[k : k + 3], 0) + m
             names = ["kind", "h", "g", "c0", "c1"]
             for k in (0, 1):
                 u, m = np.unique(np.concatenate(dfs[k] or [np.zeros(0, U64)]), return_counts=True)
@@ -252,8 +262,8 @@ def train(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (5, 0)
             rows = [(1, 0, g, m, 0) for g, m in tri.items()] + [(2, 0, None, *n)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=names)
 
-    counted = rows.mapInArrow(count, "kind int, h long, g string, c0 long, c1 long").groupBy("kind", "h", "g").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
-    got = counted.where("kind > 0 OR c1 >= 3").toArrow()  # distinct totals of the bounded sample
+    counted = early_rows.mapInArrow(count, "kind int, h long, g string, c0 long, c1 long").groupBy("kind", "h", "g").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    got = counted.where("kind > 0 OR c1 >= 3").toArrow()  # distinct trigrams, and word beginnings of several toxic texts
     kind, h, c0, c1 = (got.column(k).to_numpy() for k in ("kind", "h", "c0", "c1"))
     if not (kind == 2).any() or not c0[kind == 2][0] or not c1[kind == 2][0]:
         return None
@@ -266,26 +276,42 @@ def train(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (5, 0)
     strong = w > 1.0
     scorer = Scorer(Channel(tri), u1[strong], w[strong])
 
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(scorer)
+
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text, toxic, later = (b.column(k).to_pylist() for k in range(3))
-            use = [k for k in range(len(text)) if later[k]]
-            if use:
-                x = scorer.describe([text[k] for k in use])
-                yield pa.RecordBatch.from_arrays([pa.array([toxic[k] for k in use], pa.int32()), pa.array(list(map(list, x)), pa.list_(pa.float64()))], names=["y", "x"])
-
-    seen = rows.mapInArrow(describe, "y int, x array<double>").collect()  # of the bounded sample
-    if len({r["y"] for r in seen}) < 2:
+            text, toxic = (b.column(k).to_pylist() for k in range(2))
+            x = [sent.value.describe(text[k : k + 200]) for k in range(0, len(text), 200)]
+            if x:
+                yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), *(pa.array(c) for c in np.concatenate(x).T)], names=names)
+
+    names = ["y", *(f"x{k}" for k in range(6))]
+    seen = materialize(late_rows.mapInArrow(describe, "y int, " + ", ".join(f"{n} double" for n in names[1:])), "described")
+    found = {r["y"]: r["count"] for r in seen.groupBy("y").count().collect()}  # two rows
+    if len(found) < 2:
         scorer.coef = np.array([np.log(sizes[1] / sizes[0]) - 2.0, 0.8, 0.5, 0.2, 0.0, 0.0])
         return scorer
-    y = np.array([r["y"] for r in seen], float)
-    share = sizes[1] / (sizes[0] + sizes[1])
-    w = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-    scorer.coef = _logistic(np.array([r["x"] for r in seen]), y, w)
+    share, mean = sizes[1] / (sizes[0] + sizes[1]), found[1] / (found[0] + found[1])
+
+    def sums(b: np.ndarray) -> np.ndarray:
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(42)
+            for batch in batches:
+                y, *x = (c.to_numpy() for c in batch.columns)
+                total += _sums(np.stack(x, axis=1), y, np.where(y == 1, share / mean, (1 - share) / (1 - mean)), b)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(42)), pa.array(total)], names=["k", "v"])
+
+        out = np.zeros(42)
+        for r in seen.mapInArrow(add, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():  # 42 rows
+            out[r["k"]] = r["v"]
+        return out
+
+    scorer.coef = _newton(sums, 6)
     return scorer
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (5, 0), sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (5, 0), sample_rows: int | None = None) -> DataFrame:
     """Score every whole text.
 
     docs: doc_id, text; labels: doc_id, toxic (0 or 1; others and nulls are not learned from).
@@ -296,7 +322,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (5,
     """
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    sent = spark.sparkContext.broadcast(train(docs, labels, held_out, sample_rows))  # bounded by the sample
+    sent = spark.sparkContext.broadcast(train(docs, labels, held_out, sample_rows))  # a lexicon, trigrams and six coefficients
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = sent.value

@@ -536,3 +536,21 @@ def test_no_free_sides_that_agree_are_left_on_two_paths():
     other = np.where(sides < 0, -1, sides >> 1)
     assert all(x in other[y] for x in range(500) for y in other[x] if y >= 0)
     assert sum((sketch[x] == sketch[y]).any() for x in range(500) for y in other[x] if y >= 0) == (other >= 0).sum()
+
+
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    """6,000 rows of one label, all but the held-out and the calibrating ones counted; the regression is that of all calibrating rows."""
+    bad = [i for i in range(6300) if i % 21 == 0]
+    docs = spark.createDataFrame([(i, f"qzx {sentence(i, 3)} " + ("you worthless clown" * (i % 5 > 0) if i in set(bad) else "clown" * (i % 11 == 0))) for i in range(6300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 21 == 0)) for i in range(6300)], "doc_id long, toxic int")
+    used = docs.join(labels, "doc_id").where("crc32(CAST(doc_id AS string)) % 5 <> 0").selectExpr("text", "toxic", "pmod(xxhash64(CAST(doc_id AS string), 5), 10) < 4 AS late").collect()
+    scorer = train(docs, labels)
+    assert scorer.channel.tri["qzx"] == sum(not r.late for r in used)
+    from skein.llm.toxicity import _newton, _sums
+
+    late = [r for r in used if r.late]
+    x, y = scorer.describe([r.text.encode() for r in late]), np.array([r.toxic for r in late], float)
+    all_used = [r.toxic for r in spark.createDataFrame([(i,) for i in range(6300)], "i long").where("crc32(CAST(i AS string)) % 5 <> 0").selectExpr("CAST(i % 21 = 0 AS int) AS toxic").collect()]
+    share = sum(all_used) / len(all_used)
+    w = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
+    assert np.allclose(scorer.coef, _newton(lambda b: _sums(x, y, w, b), 6), atol=1e-6)
