@@ -115,3 +115,17 @@ def test_stage_edges(spark, name):
     if name not in ("packing", "near_duplicate", "language"):
         assert sum(r.text is None for r in got) == 1 and len(got) == len(rows)
     assert stage(spark, df.limit(0), SF).count() == 0
+
+
+def test_packing_stage_finds_neighbours_in_the_whole_corpus(spark):
+    """Pairs of related texts lie further apart than a run of rows; of those with a common sketch value, both are side by side."""
+    from skein.llm.packing import sketches
+
+    texts = [" ".join([f"p{k}x{i}" for i in range(6)] + [f"q{k}x{side}x{i}" for i in range(2)]) for side in (0, 1) for k in range(2500)]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.packing(spark, docs, "").where("start = 0").orderBy("sequence_id", "offset").collect()
+    at = {r.doc_id: k for k, r in enumerate(got)}
+    sk = sketches([t.encode() for t in texts])
+    related = [k for k in range(2500) if (sk[k] == sk[k + 2500]).any()]
+    assert len(at) == 5000 and len(related) > 2400
+    assert all(abs(at[k] - at[k + 2500]) == 1 for k in related)
