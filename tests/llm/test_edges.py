@@ -554,3 +554,23 @@ def test_toxicity_learns_from_all_labelled_rows(spark):
     share = sum(all_used) / len(all_used)
     w = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     assert np.allclose(scorer.coef, _newton(lambda b: _sums(x, y, w, b), 6), atol=1e-6)
+
+
+def test_closest_pairs_are_linked_first():
+    from skein.llm.packing import SIGNATURE, WIDE, close, packed
+
+    rng = np.random.default_rng(8)
+    values = rng.integers(0, 2**62, (300, SIGNATURE))
+    values[:, 5] = rng.integers(0, 20, 300)  # groups of about 15
+    for k in range(0, 240, 3):  # of three rows, two share many values and the third some with both
+        values[k + 1, :18], values[k + 2, 3:12] = values[k, :18], values[k, 3:12]
+    sketch = packed(values)
+    assert sketch.shape == (300, 3 * WIDE + SIGNATURE)
+    for least in (16, 8):
+        row, sides, label = np.arange(300) * 7, np.full((300, 2), -1), np.arange(300) * 7
+        close(row, sketch, sides, label, 5, least)
+        other = np.where(sides < 0, -1, (sides >> 1) // 7)
+        linked = {(x, y) for x in range(300) for y in other[x].tolist() if y >= 0}
+        assert all((y, x) in linked and (values[x] == values[y]).sum() >= least and label[x] == label[y] for x, y in linked)
+        assert all((k, k + 1) in linked for k in range(0, 240, 3))
+        assert len(linked) == 2 * 80 * (1 + (least == 8))

@@ -129,3 +129,19 @@ def test_packing_stage_finds_neighbours_in_the_whole_corpus(spark):
     related = [k for k in range(2500) if (sk[k] == sk[k + 2500]).any()]
     assert len(at) == 5000 and len(related) > 2400
     assert all(abs(at[k] - at[k + 2500]) == 1 for k in related)
+
+
+def test_packing_stage_puts_close_texts_side_by_side_among_loosely_related_ones(spark):
+    """Pairs of texts share about half of their words, and all texts share frequent words with many others."""
+    rng = np.random.default_rng(11)
+    words = []
+    for k in range(600):
+        own = [f"p{k}x{i}" for i in range(24)]
+        words += [{*own, *(f"q{k}x{side}x{i}" for i in range(4)), *(f"w{i}" for i in rng.choice(60, 10, replace=False))} for side in (0, 1)]
+    order = rng.permutation(len(words)).tolist()
+    docs = spark.createDataFrame([(i, " ".join(sorted(words[i])), "en", "web", 0) for i in order], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.packing(spark, docs, "").where("start = 0").orderBy("sequence_id", "offset").collect()
+    at = {r.doc_id: k for k, r in enumerate(got)}
+    close = [k for k in range(600) if len(words[2 * k] & words[2 * k + 1]) >= 0.5 * len(words[2 * k] | words[2 * k + 1])]
+    assert len(at) == 1200 and len(close) > 300
+    assert sum(abs(at[2 * k] - at[2 * k + 1]) == 1 for k in close) >= 0.97 * len(close)
