@@ -574,3 +574,23 @@ def test_closest_pairs_are_linked_first():
         assert all((y, x) in linked and (values[x] == values[y]).sum() >= least and label[x] == label[y] for x, y in linked)
         assert all((k, k + 1) in linked for k in range(0, 240, 3))
         assert len(linked) == 2 * 80 * (1 + (least == 8))
+
+
+def test_encoding_without_look_ahead_gives_equal_ids(monkeypatch):
+    """Texts in which no two blanks meet never take the slower pattern; all others, whatever their blanks, keep their ids."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from skein.llm import packing
+
+    voc, ranks = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    plain = ["", "a", " a b", "it's\tours\n", "naïve café 1234 #?", "ends <|endoftext|> here", "x\x1cy 日本語"]
+    blanks = [chr(c) for c in (32, 10, 9, 0x1C, 0x85, 0xA0, 0x1680, 0x2003, 0x2028, 0x202F, 0x205F, 0x3000)]
+    runs = [f"word{a}{b}word {a}{b}{c}" for a in blanks for b in blanks for c in ("", "end", "!")] + ["  ", "x" * 3000, f"a  {'y' * 2500} b"]
+    tok = Tokenizer.from_file(voc)
+    for texts in (plain, runs, [*plain, *runs]):
+        got = packing.encode([t.encode() for t in texts], voc, ranks)
+        assert [x.tolist() for x in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    slow, fast = packing._tokenizers[voc, ranks]
+    monkeypatch.setitem(packing._tokenizers, (voc, ranks), (None, [None, fast[1]]))
+    assert len(packing.encode([t.encode() for t in plain], voc, ranks)) == len(plain)
