@@ -31,6 +31,10 @@ from . import blocks as B
 from .text import BYTE64, U64, _P, _PINV, covered, isin_sorted, mix64, powers, runs, sliding
 
 
+#: Bytes of documents whose windows are looked at together; a longer document is one batch.
+BATCH_BYTES = 1 << 18
+
+
 def suffix_ranks(data: np.ndarray, depth: int) -> np.ndarray:
     """Rank of each suffix of ``data`` by its first ``depth`` bytes; a shorter suffix sorts first."""
     n = len(data)
@@ -98,42 +102,54 @@ def _sections(x: np.ndarray) -> np.ndarray:
 
 
 class _Batch:
-    """One batch of documents: prefix hashes and winnowed grams.
+    """One batch of documents: winnowed grams, and prefix hashes.
 
     Grams are a quarter of the width long. The least gram of each half-width window is an anchor. A window of the
-    whole width consists of half-width windows, so where it's repeated all their least grams are."""
+    whole width consists of half-width windows, so where it's repeated all their least grams are. Between its uses a
+    batch holds only anchors and the sections of equal least grams, not eight bytes or more a position."""
 
     def __init__(self, buf: np.ndarray, offs: np.ndarray, width: int) -> None:
         self.buf, self.offs, self.width = buf, offs, width
         n = len(buf)
-        self.c = np.empty(n + 1, dtype=np.uint64)
-        self.c[0] = 0
-        np.multiply(BYTE64[buf], powers(_P, n), out=self.c[1:])
-        np.cumsum(self.c, out=self.c)
         g = width // 4
         self.half = 2 * g
         self.ok = np.ones(max(0, n - self.half + 1), dtype=bool)  # half-width windows inside one document
         for end in offs[1:]:
             self.ok[max(0, end - self.half) : end] = False
-        self.low, self.at, self.gram = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        self.at, self.gram = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        self.least, self.long = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # least grams of the windows, and how many in a row have one
         if self.ok.any():
-            h = self.hash(np.arange(n - g + 1), g) | U64(1)
-            self.low = sliding(h, g + 1, np.minimum)
+            c = self.prefixes()
+            h = c[g:] - c[: n - g + 1]
+            h *= powers(_PINV, n)[: n - g + 1]
+            h = mix64(h)
+            h |= U64(1)
+            low = sliding(h, g + 1, np.minimum)
+            head = _sections(low)
+            self.least, self.long = low[head], np.diff(np.concatenate([head, [len(low)]])).astype(np.int32)
+            low[~self.ok] = 0
             edge = np.zeros(g, dtype=np.uint64)
-            reach = sliding(np.concatenate([edge, np.where(self.ok, self.low, U64(0)), edge]), g + 1, np.maximum)
+            reach = sliding(np.concatenate([edge, low, edge]), g + 1, np.maximum)
             self.at = np.flatnonzero(reach == h)
             self.gram = h[self.at]
 
-    def hash(self, at: np.ndarray, width: int) -> np.ndarray:
-        return mix64((self.c[at + width] - self.c[at]) * powers(_PINV, len(self.buf))[at])
+    def prefixes(self) -> np.ndarray:
+        """Hashes of the prefixes of the buffer, for hash()."""
+        c = np.empty(len(self.buf) + 1, dtype=np.uint64)
+        c[0] = 0
+        np.multiply(BYTE64[self.buf], powers(_P, len(self.buf)), out=c[1:])
+        return np.cumsum(c, out=c)
+
+    def hash(self, c: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+        return mix64((c[at + width] - c[at]) * powers(_PINV, len(self.buf))[at])
 
     def told(self, grams: np.ndarray) -> np.ndarray:
         """Half-width windows whose least gram is in ``grams`` (sorted)."""
-        at = _sections(self.low)
-        return np.repeat(isin_sorted(self.low[at], grams), np.diff(np.concatenate([at, [len(self.low)]]))) & self.ok
+        return np.repeat(isin_sorted(self.least, grams), self.long) & self.ok
 
-    def cells(self, grams: np.ndarray, told: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of windows of ``width`` of which all half-width windows are told: start, bit, cell; and the cells' core starts."""
+    def cells(self, grams: np.ndarray, told: np.ndarray, low: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of windows of ``width`` of which all half-width windows are told: start, bit, cell; and the cells' core starts.
+        low: the least gram of each half-width window."""
         span = width - self.half + 1
         x, y = runs(told)
         long = y - x >= span
@@ -142,7 +158,7 @@ class _Batch:
             z = np.zeros(0, np.int64)
             return z, z, z, z
         i = np.arange(int((y - x).sum())) - np.repeat(np.cumsum(y - x) - (y - x), y - x) + np.repeat(x, y - x)
-        least = np.concatenate([sliding(self.low[a : b + span - 1], span, np.minimum) for a, b in zip(x, y, strict=True)])
+        least = np.concatenate([sliding(low[a : b + span - 1], span, np.minimum) for a, b in zip(x, y, strict=True)])
         mine = isin_sorted(self.gram, grams)
         at, val = self.at[mine], np.searchsorted(grams, self.gram[mine])
         n = len(self.buf) + 1
@@ -159,26 +175,35 @@ class _Batch:
         return i, 7 - (t & 7), inv, core
 
 
+def _dealt(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, gram, count) of the distinct grams by hash. Least grams are small numbers, nearly all of which would
+    meet in the first bucket; their hashes are a one-to-one mixture, so buckets are alike."""
+    g = np.concatenate(grams or [np.zeros(0, np.uint64)])
+    h, first, count = np.unique(mix64(g), return_index=True, return_counts=True)
+    return h, g[first], count
+
+
 class _Cells:
     """The cells of a block, equal ones once, in the order in which they are sent; of windows of the width, and of half of it too."""
 
     def __init__(self, block: B.Block, answer: pd.DataFrame, width: int, buckets: int, both: bool) -> None:
-        parts = [(a, _Batch(buf, offs, width)) for a, _, buf, offs in block.batches()]
-        u, c = np.unique(np.concatenate([b.gram for _, b in parts] or [np.zeros(0, np.uint64)]), return_counts=True)
-        grams = u[B.Answer(answer, buckets, np.uint64).holds(u) | (c > 1)]
+        parts = [(a, _Batch(buf, offs, width)) for a, _, buf, offs in block.batches(BATCH_BYTES)]
+        h, u, count = _dealt([b.gram for _, b in parts])
+        grams = np.sort(u[B.Answer(answer, buckets, np.uint64).holds(h) | (count > 1)])
         core, ctx, doc = [], [], []
         self.parts = []  # batch, and of each width: start, bit and cell of its windows
         base = 0
         for a, b in parts:
-            told = b.told(grams)
+            told, low, c = b.told(grams), np.repeat(b.least, b.long), None
             own = []
             for w in (width, b.half)[: 1 + both]:
-                i, d, inv, x = b.cells(grams, told, w)
+                i, d, inv, x = b.cells(grams, told, low, w)
                 rows = np.zeros((len(x), 15), np.uint8)
                 if len(x):
+                    c = b.prefixes() if c is None else c
                     side = np.concatenate([x[:, None] - 7 + np.arange(7), x[:, None] + w - 7 + np.arange(7)], axis=1)
                     rows[:, :14] = b.buf[side.clip(0, max(0, len(b.buf) - 1))]
-                    core.append(mix64(b.hash(x, w - 7) + U64(w)))
+                    core.append(mix64(b.hash(c, x, w - 7) + U64(w)))
                     doc.append(a + np.searchsorted(b.offs, x, side="right") - 1)
                 np.bitwise_or.at(rows[:, 14], inv, np.left_shift(np.uint8(1), d.astype(np.uint8)))
                 ctx.append(rows)
@@ -289,7 +314,7 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
 def _copies(s: _Cells) -> tuple[np.ndarray, np.ndarray]:
     """For the windows of the width, in order: has an earlier copy in the block, has any; by suffix ranks of the regions of
     windows whose hash the block holds twice. Equal windows have equal hashes, so no copy is lost; the ranks decide."""
-    hashes = [b.hash(own[0][0].astype(np.int64), s.width) for b, own in s.parts if len(own[0][0])]
+    hashes = [b.hash(b.prefixes(), own[0][0].astype(np.int64), s.width) for b, own in s.parts if len(own[0][0])]
     later, shared = earlier_copies(np.zeros(0, np.int64))
     if not hashes:
         return later, shared
@@ -349,8 +374,8 @@ def suffix_array_dedup(docs: DataFrame, width: int = 400, keep: str = "first", c
     buckets = B.bucket_count(bl)
 
     def first(block: B.Block) -> pd.DataFrame:
-        u, c = np.unique(np.concatenate([_Batch(buf, offs, width).gram for _, _, buf, offs in block.batches()] or [np.zeros(0, np.uint64)]), return_counts=True)
-        return B.requests(u[c == 1], u[c > 1], block.block, buckets, np.uint64)
+        h, _, count = _dealt([_Batch(buf, offs, width).gram for _, _, buf, offs in block.batches(BATCH_BYTES)])
+        return B.requests(h[count == 1], h[count > 1], block.block, buckets, np.uint64)
 
     def second(block: B.Block, pdf: pd.DataFrame) -> pd.DataFrame:
         return _Cells(block, pdf, width, buckets, both).rows(block.block)

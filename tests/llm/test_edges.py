@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -15,7 +16,7 @@ from skein.llm.bagminhash import deduplicate, near_duplicates
 from skein.llm.ctw import ctw_score
 from skein.llm.decontam import contaminated, without_contamination
 from skein.llm.langid import identify
-from skein.llm.lpf import lpf_array, previous_factors_of, suffix_array_dedup
+from skein.llm.lpf import _Batch, lpf_array, previous_factors_of, suffix_array_dedup
 from skein.llm.packing import pack_related
 from skein.llm.quality import cascade
 from skein.llm.sharding import balanced_label_propagation
@@ -110,6 +111,28 @@ def keep_first(units: list[tuple[int, bytes]], width: int) -> list[tuple[int, by
     return out
 
 
+def test_suffix_array_deals_grams_evenly(spark, monkeypatch):
+    letters = np.random.default_rng(7).integers(97, 123, 120_000).astype(np.uint8).tobytes().decode()
+    table = spark.createDataFrame([(k, letters[k * 1200 : (k + 1) * 1200]) for k in range(100)], "doc_id long, text string")
+    sent, repeated = [], blocks.repeated
+    monkeypatch.setattr(blocks, "repeated", lambda x, dtype: sent.append(x) or repeated(x, dtype))
+    suffix_array_dedup(table, 200)
+    size = Counter()
+    for r in sent[0].collect():
+        size[r.bucket] += len(r.once) + len(r.more)
+    assert len(size) >= 12 and max(size.values()) < 2 * sum(size.values()) / len(size)
+
+
+def test_suffix_array_holds_few_bytes_a_position():
+    letters = np.random.default_rng(7).integers(97, 123, 1 << 18).astype(np.uint8)
+    _Batch(letters, np.array([0, len(letters)]), 400)  # tables of powers stay
+    tracemalloc.start()
+    batch = _Batch(letters, np.array([0, len(letters)]), 400)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(batch.gram) and held < 3 * len(letters)
+
+
 def test_suffix_array_keeps_the_first_copy(docs):
     unique = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).orderBy("doc_id").coalesce(1)
     want = keep_first([(r.doc_id, (r.text or "").encode()) for r in unique.collect()], 50)
