@@ -171,8 +171,11 @@ class _Batch:
         late = np.flatnonzero(p < i)  # it left the window, an equal one follows
         p[late] = key[np.searchsorted(key, rank[late] * n + i[late])] % n
         t = p - i
-        core, inv = np.unique(p - (t & ~7), return_inverse=True)
-        return i, 7 - (t & 7), inv, core
+        at = p - (t & ~7)
+        flags = np.zeros(n, dtype=bool)
+        flags[at] = True
+        core = np.flatnonzero(flags)
+        return i, 7 - (t & 7), (np.cumsum(flags, dtype=np.int32) - 1)[at], core
 
 
 def _dealt(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -342,12 +345,15 @@ def _copies(s: _Cells) -> tuple[np.ndarray, np.ndarray]:
 
 def _twice(s: _Cells) -> np.ndarray:
     """A bit a half-width window of each sent cell: the block holds it in two equal cells."""
-    count = np.zeros(len(s.core) * 8, np.uint8)
+    seen, again = np.zeros(len(s.core) * 8, bool), np.zeros(len(s.core) * 8, bool)
+    at = np.zeros(len(seen), np.int32)
     for _, own in s.parts:
         _, d, cell = own[1]
-        n = np.bincount(s.sent[cell] * 8 + d, minlength=len(count))
-        count = np.minimum(count + np.minimum(n, 2), 2).astype(np.uint8)
-    return np.packbits((count > 1).reshape(-1, 8), axis=1, bitorder="little").ravel()
+        bit, i = s.sent[cell] * 8 + d, np.arange(len(d), dtype=np.int32)
+        at[bit] = i  # of equal bits one place stays
+        again[bit[seen[bit] | (at[bit] != i)]] = True
+        seen[bit] = True
+    return np.packbits(again.reshape(-1, 8), axis=1, bitorder="little").ravel()
 
 
 OUTPUTS = {"longest_repeat": "long", "kept": "binary", "kept_text": "string", "kept_sha256": "string"}

@@ -20,6 +20,7 @@ from skein.llm.lpf import _Batch, lpf_array, previous_factors_of, suffix_array_d
 from skein.llm.packing import pack_related
 from skein.llm.quality import cascade
 from skein.llm.sharding import balanced_label_propagation
+from skein.llm.text import sliding
 from skein.llm.toxicity import toxicity, train
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -133,6 +134,19 @@ def test_suffix_array_holds_few_bytes_a_position():
     assert len(batch.gram) and held < 3 * len(letters)
 
 
+@pytest.mark.parametrize("width", [1, 2, 7, 100, 101])
+def test_sliding_takes_little_memory(width):
+    x = np.random.default_rng(width).integers(0, 1 << 60, 150_000).astype(np.uint64)
+    for op, whole in ((np.minimum, np.min), (np.maximum, np.max)):
+        tracemalloc.start()
+        got = sliding(x, width, op)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 2.5 * x.nbytes
+        assert np.array_equal(got, whole(np.lib.stride_tricks.sliding_window_view(x, width), axis=1))
+    assert len(sliding(x[: width - 1], width, np.minimum)) == 0
+
+
 def test_suffix_array_keeps_the_first_copy(docs):
     unique = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).orderBy("doc_id").coalesce(1)
     want = keep_first([(r.doc_id, (r.text or "").encode()) for r in unique.collect()], 50)
