@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .storage import materialize
-from .text import U64, mix64, window_hashes, word_hashes, word_spans
+from .text import U64, lean, mix64, window_hashes, word_hashes, word_spans
 
 SHINGLE = 5
 BANDS = 32
@@ -39,7 +39,8 @@ SHARP = (48, 8)
 #: Texts whose shingles are counted to tell common shingles from rare ones, and the number of common ones
 #: kept. They set the order of shingles in the last join, so its cost and never its result.
 COUNTED, COMMON = 20_000, 200_000
-BATCH = 4 << 20
+#: Bytes of texts that are described at once; a shingle takes about 170 bytes meanwhile.
+BATCH = 1_000_000
 
 
 def shingles(texts: list[bytes], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,7 +133,7 @@ def _described(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    return docs.select(F.unhex(F.md5(text)).alias("key"), text.alias("text")).mapInArrow(run, "key binary, n long, bands array<long>")
+    return docs.select(F.unhex(F.md5(text)).alias("key"), text.alias("text")).mapInArrow(lean(run), "key binary, n long, bands array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -152,7 +153,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in ok], pa.int64()), pa.array([b[k] for k in ok], pa.int64())], names=["a", "b"])
 
     one = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    return one.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return one.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb").mapInArrow(lean(run), "a long, b long")
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -197,7 +198,7 @@ def _sharpened(texts: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(t) + 1, dtype=np.int32) * count), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), lists], names=["node", "n", "bands"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, n long, bands array<long>")
+    return texts.select("node", "text").mapInArrow(lean(run), "node long, n long, bands array<long>")
 
 
 def _common(texts: DataFrame) -> np.ndarray:
@@ -209,7 +210,7 @@ def _common(texts: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(count)], names=["h", "c"])
 
     some = F.pmod(F.xxhash64("node", F.lit(11)), F.lit(1 << 20)) < F.lit(min(1.0, COUNTED / max(1, texts.count())) * (1 << 20))
-    counts = texts.where(some).select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c > 1")
+    counts = texts.where(some).select("text").mapInArrow(lean(run), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c > 1")
     rows = counts.orderBy(F.desc("c"), "h").limit(COMMON).select("h").toArrow()
     return rows.column(0).to_numpy().view(U64)[::-1]
 
@@ -245,7 +246,7 @@ def _rarest(texts: DataFrame, threshold: float) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(reach)]).astype(np.int32)), pa.array(x[use].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(lead), lists], names=["node", "n", "lead", "tokens"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, n long, lead long, tokens array<long>")
+    return texts.select("node", "text").mapInArrow(lean(run), "node long, n long, lead long, tokens array<long>")
 
 
 def _rest(texts: DataFrame, comp: DataFrame, threshold: float) -> DataFrame:

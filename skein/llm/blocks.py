@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import materialize
+from .text import give_back, lean
 
 BLOCK_BYTES = 6 << 20
 BUCKET_BYTES = 16 << 20
@@ -102,7 +103,7 @@ def pack(docs: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
 
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     src = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").cast("binary").alias("__text"), *columns)
-    return materialize(src.mapInArrow(run, SCHEMA), "blocks")
+    return materialize(src.mapInArrow(lean(run), SCHEMA), "blocks")
 
 
 def bucket_count(blocks: DataFrame, least: int = 12) -> int:
@@ -179,7 +180,7 @@ def ask(blocks: DataFrame, fn: Callable[[Block], pd.DataFrame], schema: str = RE
             for row in pdf.itertuples():
                 yield fn(Block(row))
 
-    return blocks.mapInPandas(run, schema)
+    return blocks.mapInPandas(lean(run), schema)
 
 
 def again(blocks: DataFrame, answers: DataFrame, fn: Callable[[Block, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -187,6 +188,7 @@ def again(blocks: DataFrame, answers: DataFrame, fn: Callable[[Block, pd.DataFra
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = [fn(Block(row), right) for row in left.itertuples()]
+        give_back()
         return pd.concat(out) if out else pd.DataFrame({c.split()[0]: [] for c in schema.split(",")})
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, schema)
@@ -197,6 +199,8 @@ def again_arrow(blocks: DataFrame, answers: DataFrame, fn: Callable[[Block, pd.D
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         told = right.to_pandas()
-        return pa.concat_tables([fn(Block(row), told) for row in left.to_pandas().itertuples()])  # one block
+        out = pa.concat_tables([fn(Block(row), told) for row in left.to_pandas().itertuples()])  # one block
+        give_back()
+        return out
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import U64, mix64, window_hashes, word_hashes, word_spans
+from .text import U64, lean, mix64, window_hashes, word_hashes, word_spans
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -223,7 +223,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
                     names=["doc_id", "item_id", "start", "words", "similarity"],
                 )
 
-        found = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).mapInArrow(run, "doc_id long, item_id long, start long, words long, similarity double")
+        found = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).mapInArrow(lean(run), "doc_id long, item_id long, start long, words long, similarity double")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -240,5 +240,5 @@ def without_contamination(docs: DataFrame, benchmark: DataFrame, threshold: floa
                 bad = {m[0] for m in _matches(sent.value, [None if t is None else t.encode("utf-8", "replace") for t in b.column("text").to_pylist()])}
                 yield b.take(pa.array([k for k in range(b.num_rows) if k not in bad], pa.int64()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs

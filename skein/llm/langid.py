@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import U64, isin_sorted
+from .text import U64, isin_sorted, lean
 
 ORDER = 4
 SAMPLE_ROWS = 1500
 CACHE = 400_000
+#: Texts that are scored at once.
+AT_ONCE = 100
 _luts: list[np.ndarray] = []
 
 
@@ -187,7 +189,7 @@ def train(docs: DataFrame, held_out: tuple[int, int] = (4, 2), sample_rows: int
                 g, c = _count(texts)
                 yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([g.tobytes()], pa.binary()), pa.array([c.astype(np.int64).tobytes()], pa.binary())], names=["lang", "g", "c"])
 
-    parts = picked.mapInArrow(count, "lang string, g binary, c binary").collect()  # of the bounded sample
+    parts = picked.mapInArrow(lean(count), "lang string, g binary, c binary").collect()  # of the bounded sample
     langs, models = [], []
     for lang in sorted(sizes):
         own = [p for p in parts if p["lang"] == lang]
@@ -210,7 +212,7 @@ def train(docs: DataFrame, held_out: tuple[int, int] = (4, 2), sample_rows: int
                 h, n, _ = ident.entropies([text[k] for k in use])
                 yield pa.RecordBatch.from_arrays([pa.array([where[lang[k]] for k in use], pa.int32()), pa.array(n), pa.array(list(map(list, h)), pa.list_(pa.float64()))], names=["y", "n", "h"])
 
-    seen = [r for r in picked.mapInArrow(calibrate, "y int, n long, h array<double>").collect() if r["n"] >= 20]
+    seen = [r for r in picked.mapInArrow(lean(calibrate), "y int, n long, h array<double>").collect() if r["n"] >= 20]
     y, n, h = np.array([r["y"] for r in seen], int), np.array([r["n"] for r in seen], float), np.array([r["h"] for r in seen]).reshape(len(seen), len(langs))
     cal = np.zeros((len(langs), 3))
     for k in range(len(langs)):
@@ -258,14 +260,14 @@ def identify(docs: DataFrame, held_out: tuple[int, int] = (4, 2), sample_rows: i
             if model is None:
                 p = pd.DataFrame({"lang_pred": ["und"] * n, "score": [0.0] * n, "bits_per_char": [0.0] * n, "deviation": [0.0] * n})
             else:
-                p = pd.concat([model.predict(texts[k : k + 300]) for k in range(0, n, 300)]) if n else pd.DataFrame({"lang_pred": [], "score": [], "bits_per_char": [], "deviation": []})
+                p = pd.concat([model.predict(texts[k : k + AT_ONCE]) for k in range(0, n, AT_ONCE)]) if n else pd.DataFrame({"lang_pred": [], "score": [], "bits_per_char": [], "deviation": []})
             gone = (p["lang_pred"].to_numpy() == "und") | (p["deviation"].to_numpy(float) > limit)
             yield pa.RecordBatch.from_arrays(
                 [b.column(k + 1) for k in range(len(names))] + [held, pa.array(p["lang_pred"].tolist(), pa.string()), pa.array(p["score"].to_numpy(float)), pa.array(p["bits_per_char"].to_numpy(float)), pa.array(gone, pa.bool_())],
                 names=[*names, "held_out", "lang_pred", "score", "bits_per_char", "rejected"],
             )
 
-    done = src.mapInArrow(run, schema)
+    done = src.mapInArrow(lean(run), schema)
     return done.select("doc_id", *(F.col(n).alias(c) for n, c in zip(private, extra, strict=True)), *done.columns[len(names) :])
 
 
@@ -281,9 +283,9 @@ def plausible(docs: DataFrame, held_out: tuple[int, int] = (4, 2), sample_rows:
         for b in batches:
             texts = [b"" if t is None else t.encode("utf-8", "replace") for t in b.column("text").to_pylist()]
             keep: list[int] = []
-            for k in range(0, len(texts) if model else 0, 300):
-                p = model.predict(texts[k : k + 300])
+            for k in range(0, len(texts) if model else 0, AT_ONCE):
+                p = model.predict(texts[k : k + AT_ONCE])
                 keep.extend(k + np.flatnonzero((p["lang_pred"].to_numpy() != "und") & (p["deviation"].to_numpy(float) <= limit)))
             yield b.take(pa.array(keep, pa.int64()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

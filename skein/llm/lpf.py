@@ -35,22 +35,36 @@ from .text import BYTE64, U64, _P, _PINV, covered, isin_sorted, mix64, powers, r
 BATCH_BYTES = 1 << 18
 
 
+def _ranks(key: np.ndarray) -> np.ndarray:
+    """Place of each value among the distinct values."""
+    order = np.argsort(key)
+    line = key[order]
+    new = np.zeros(len(key), dtype=bool)
+    np.not_equal(line[1:], line[:-1], out=new[1:])
+    del line
+    out = np.empty(len(key), np.int64)
+    out[order] = np.cumsum(new, dtype=np.int32)
+    return out
+
+
 def suffix_ranks(data: np.ndarray, depth: int) -> np.ndarray:
     """Rank of each suffix of ``data`` by its first ``depth`` bytes; a shorter suffix sorts first."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64)
     h = min(7, depth)
-    x = np.concatenate([data.astype(np.int64) + 1, np.zeros(h, np.int64)])
+    x = np.concatenate([data.astype(np.int16) + np.int16(1), np.zeros(h, np.int16)])
     key = np.zeros(n, np.int64)
     for k in range(h):
-        key = key * 257 + x[k : k + n]
-    rank = np.unique(key, return_inverse=True)[1]
+        key *= 257
+        key += x[k : k + n]
+    rank = _ranks(key)
     while h < depth:
         step = min(h, depth - h)
-        nxt = np.zeros(n, np.int64)
-        nxt[: max(0, n - step)] = rank[step:] + 1
-        rank = np.unique(rank * (n + 1) + nxt, return_inverse=True)[1]
+        np.multiply(rank, n + 1, out=key)
+        key[: max(0, n - step)] += rank[step:] + 1
+        del rank
+        rank = _ranks(key)
         h += step
     return rank
 
@@ -324,7 +338,9 @@ def _copies(s: _Cells) -> tuple[np.ndarray, np.ndarray]:
     whole = np.concatenate(hashes)
     line = np.sort(whole)
     twice = isin_sorted(whole, np.unique(line[1:][line[1:] == line[:-1]]))
+    del hashes, line
     later, shared = np.zeros(len(whole), dtype=bool), np.zeros(len(whole), dtype=bool)
+    del whole
     texts, pos, at, k = [], [], 0, 0
     for b, own in s.parts:
         i = own[0][0].astype(np.int64)
