@@ -58,3 +58,30 @@ def test_keys_round_as_spark_does(spark, x):
     from skein.operators.topk import PLACES, rounded
 
     assert rounded(np.array([x]))[0] / PLACES == spark.sql(f"SELECT round(cast('{x!r}' AS double), 9)").first()[0]
+
+
+def test_bm25_shuffles_no_pairs_and_merges_repeated_ids(spark):
+    import random
+
+    import duckdb
+
+    from skein.plans.oracle import TOP
+
+    r = random.Random(3)
+    word = [f"w{i}" for i in range(40)]
+    docs = [(i, " ".join(r.choices(word, k=r.randint(0, 30)))) for i in range(300)]
+    docs += [(400 + i, docs[5][1]) for i in range(60)] + [(7, "W1 w2 w2"), (7, "w3"), (8, "w1 " * 40), (500, None), (501, "..."), (502, "\u212aw wäw1")]
+    items = [(i, " ".join(r.choices(word + ["none", "kw"], k=8))) for i in range(30)] + [(90, docs[5][1]), (91, ""), (92, None), (93, "W1 w1 i")]
+    chunks, questions = spark.createDataFrame(docs, "chunk_id long, text string"), spark.createDataFrame(items, "qid long, text string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+    want = con.sql(f"WITH {TOP} SELECT qid, rank, chunk_id, round(score, 6) FROM top ORDER BY 1, 2").fetchall()
+    for block in (8192, 7):
+        df = R.bm25_topk(chunks, questions, 20, block)
+        assert "Join" not in plan(df)
+        assert sorted((x.qid, x.rank, x.chunk_id, round(x.score, 6)) for x in df.collect()) == want
+    stats = con.sql("WITH " + TOP.split(", q AS")[0] + " SELECT term, df, tf_total FROM dfs").fetchall()
+    assert sorted((x.term, x.df, x.tf_total) for x in R.bm25_stats(chunks).collect()) == sorted(stats)
