@@ -85,3 +85,19 @@ def test_bm25_shuffles_no_pairs_and_merges_repeated_ids(spark):
         assert sorted((x.qid, x.rank, x.chunk_id, round(x.score, 6)) for x in df.collect()) == want
     stats = con.sql("WITH " + TOP.split(", q AS")[0] + " SELECT term, df, tf_total FROM dfs").fetchall()
     assert sorted((x.term, x.df, x.tf_total) for x in R.bm25_stats(chunks).collect()) == sorted(stats)
+
+
+def test_only_wanted_texts_are_moved(spark):
+    from skein.operators import evaluation as E
+
+    chunks = spark.range(2000).selectExpr("id AS chunk_id", "concat('a b c d e ', id, ' f') AS text", "concat('s', id % 3) AS source_file", "cast(id % 2 AS int) AS page_number")
+    needles = spark.createDataFrame([(1, "a b c d e 77 f"), (2, "x y z w v u")], "qid long, needle string")
+    pages = spark.createDataFrame([("s1", 1)], "source_file string, page_number int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df, want in ((E.page_candidates(chunks, pages, 4), [1, 7, 13, 19]), (E.holders(chunks, needles), [77])):
+            # ids reach the texts by a broadcast, before any shuffle of texts
+            assert "LeftSemi, BuildRight" in plan(df)
+            assert sorted(r.chunk_id for r in df.collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
