@@ -17,18 +17,23 @@ def fixed_windows(pages: DataFrame, size: int = SIZE) -> DataFrame:
     return _windows(tok, starts, size)
 
 
-def overlapping_windows(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """Windows that share ``overlap`` tokens; none begins within the last window."""
+def overlapping_windows(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP, least: int = 0) -> DataFrame:
+    """Windows that share ``overlap`` tokens; none begins within the last window. Texts of fewer than ``least`` tokens have none."""
     stride = max(1, size - overlap)
     tok = pages.withColumn("__t", model_tokens(F.coalesce("text", F.lit(""))))
     last = F.greatest(F.lit(0), F.ceil((F.size("__t") - size) / stride).cast("int"))
-    return _windows(tok, F.transform(F.sequence(F.lit(0), last), lambda i: i * stride), size)
+    return _windows(tok, F.when(F.size("__t") >= least, F.transform(F.sequence(F.lit(0), last), lambda i: i * stride)), size)
+
+
+def exploded(df: DataFrame, column: str, *names: str) -> DataFrame:
+    """posexplode of a computed column. Of an inner one Spark would infer a filter on its size below and compute it twice."""
+    return df.select("*", F.posexplode_outer(column).alias(*names)).where(F.col(names[0]).isNotNull())
 
 
 def _windows(tok: DataFrame, starts: Column, size: int) -> DataFrame:
-    cut = tok.withColumn("__s", starts).select("*", F.posexplode("__s").alias("seq", "start"))
+    cut = exploded(tok.withColumn("__n", F.size("__t")).withColumn("__s", starts), "__s", "seq", "start")
     piece = F.slice("__t", F.col("start") + 1, size)
-    return cut.select(*[c for c in tok.columns if c not in ("__t", "text")], "seq", F.size(piece).alias("n_tokens"), F.array_join(piece, "").alias("chunk"))
+    return cut.select(*[c for c in tok.columns if c not in ("__t", "text")], "seq", F.least(F.lit(size), F.col("__n") - F.col("start")).alias("n_tokens"), F.array_join(piece, "").alias("chunk"))
 
 
 def bound(value: Column, body) -> Column:
@@ -40,7 +45,7 @@ def segments(text: Column) -> Column:
     """Trimmed segments: a blank line or a heading ends one; a heading begins the next."""
 
     def cut(ls: Column) -> Column:
-        marked = F.filter(F.transform(ls, lambda x, i: F.when((strip(x) == "") | is_heading(x) | (i == 0), i)), lambda i: i.isNotNull())
+        marked = F.filter(F.transform(ls, lambda x, i: F.when(~x.rlike(r"(?U)\S") | is_heading(x) | (i == 0), i)), lambda i: i.isNotNull())
         # a segment is the lines from one mark to the next; blank lines are all marks
         part = lambda at: F.transform(at, lambda i, k: strip(F.array_join(F.slice(ls, i + 1, F.coalesce(F.get(at, k + 1), F.size(ls)) - i), "\n")))
         return F.filter(bound(marked, part), lambda x: x != "")
@@ -77,13 +82,13 @@ def structured_chunks(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP
     """Clause-aware chunks of pages (…, text): folded spaces, segments, merged short ones, runts dropped, then windows."""
     folded = pages.withColumn("text", fold_nbsp(F.coalesce("text", F.lit(""))))
     cut = bound(segments(F.col("text")), lambda x: merge_short(x, least))
-    parts = folded.withColumn("__m", cut).select(*[c for c in pages.columns if c != "text"], F.posexplode("__m").alias("segment", "text"))
-    return overlapping_windows(parts.where(F.size(model_tokens(F.col("text"))) >= runt), size, overlap)
+    parts = exploded(folded.select(*[c for c in pages.columns if c != "text"], cut.alias("__m")), "__m", "segment", "text").drop("__m")
+    return overlapping_windows(parts, size, overlap, runt)
 
 
 def page_flags(pages: DataFrame) -> DataFrame:
     """pages with empty and heading_found."""
-    blank = strip(F.coalesce("text", F.lit(""))) == ""
+    blank = ~F.coalesce("text", F.lit("")).rlike(r"(?U)\S")
     return pages.withColumn("empty", blank).withColumn("heading_found", ~blank & has_heading(fold_nbsp(F.coalesce("text", F.lit("")))))
 
 

@@ -101,3 +101,24 @@ def test_only_wanted_texts_are_moved(spark):
             assert sorted(r.chunk_id for r in df.collect()) == want
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_structured_chunks_are_cut_once(spark):
+    from skein.operators import chunking as C
+
+    pages = spark.range(3).selectExpr("id", "repeat('1. Clause\nword ', 60) AS text")
+    df = C.structured_chunks(pages)
+    before = df._jdf.queryExecution().optimizedPlan().toString()
+    # a filter inferred from the explosion would cut and count all lines again
+    assert not [line for line in before.split("\n") if "Filter" in line and ("regexp" in line or "lambda" in line)]
+
+
+def test_strip_knows_the_white_space_of_the_pattern(spark):
+    from pyspark.sql import functions as F
+
+    from skein.functions.text import strip
+
+    code = [i for i in range(1, 0x3100) if not 0xD800 <= i < 0xE000] + [0xFEFF, 0x1F600]
+    df = spark.createDataFrame([(f"{chr(i)}{chr(i)}a{chr(i)}b{chr(i)}",) for i in code] + [(chr(i),) for i in code] + [("",), (None,)], "t string")
+    old = F.regexp_replace("t", r"(?U)^\s+|\s+$", "")
+    assert df.where(~strip(F.col("t")).eqNullSafe(old) | (strip(F.col("t")) == "").__ne__(~F.col("t").rlike(r"(?U)\S"))).count() == 0
